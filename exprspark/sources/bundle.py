@@ -8,6 +8,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from exprspark.sources.tables import SourceError
 
@@ -134,7 +135,7 @@ def audit_files(manifest: DataFrame, root: str, pattern: str = "*") -> DataFrame
     return joined.select("m.path", status.alias("status"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(text: pd.Series) -> pd.Series:
     """JSON documents with sorted keys and no blanks."""
     return text.map(lambda t: json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")))
