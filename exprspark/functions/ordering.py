@@ -36,7 +36,7 @@ def _splits(df: DataFrame, order: Sequence[str], rows_per_task: int) -> list[tup
     if total <= rows_per_task:
         return []
     buckets = min(MAX_BUCKETS, max(2, 2 * total // rows_per_task))
-    rows = df.select(*order).sample(min(1.0, SAMPLE_ROWS / total), seed=7).collect()
+    rows = df.select(*order).sample(min(1.0, SAMPLE_ROWS / total), seed=7).collect()  # about SAMPLE_ROWS
     points = sorted({tuple(r) for r in rows if None not in tuple(r)})
     step = max(1, len(points) // buckets)
     return points[step::step]
@@ -59,12 +59,14 @@ def _bucket(order: Sequence[str], splits: list[tuple], types: list) -> Column:
 
 
 def _ordered(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_task: int):
-    """(frame, grouping columns incl. bucket, splits used)."""
+    """(frame, grouping columns incl. bucket, splits used). The input is written once, because its
+    size, its sample, its totals and its rows are all read from it."""
+    df = cut(df)
     probe = _splits(df, order, rows_per_task)
     if not probe:
         return df, list(by), False
     types = [df.schema[c].dataType for c in order]
-    return cut(df.withColumn("_bucket", _bucket(order, probe, types))), [*by, "_bucket"], True
+    return df.withColumn("_bucket", _bucket(order, probe, types)), [*by, "_bucket"], True
 
 
 def _window(keys: Sequence[str]):
@@ -136,13 +138,14 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], rows_per_task: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], rows_per_task: int | None = None, largest: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group (NULLs ignored). Groups that fit a task use
-    the built-in percentile; beyond that the values are counted and ranked in buckets."""
+    the built-in percentile; beyond that the values are counted and ranked in buckets. Pass the
+    largest group's size when it is known."""
     limit = rows_per_task or ROWS_PER_TASK
     df = df.where(F.col(value).isNotNull())
-    if largest_group(df, by) <= limit:
+    if (largest if largest is not None else largest_group(df, by)) <= limit:
         return df.groupBy(*by).agg(*[F.percentile(value, p).alias(n) for n, p in probs.items()])
     return tie_quantiles(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties")), by, value, probs, limit)
 
@@ -165,10 +168,21 @@ def tie_quantiles(ties: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return placed.groupBy(*by).agg(*columns)
 
 
-def medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    return quantiles(df, by, value, {name: 0.5})
+def medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median", largest: int | None = None) -> DataFrame:
+    return quantiles(df, by, value, {name: 0.5}, largest=largest)
 
 
 def one_row(df: DataFrame, side: DataFrame) -> DataFrame:
     """Attach a one-row aggregate to every row."""
     return df.crossJoin(F.broadcast(side))
+
+
+def counted_join(facts: DataFrame, dim: DataFrame, keys: list[str], count: str, how: str = "inner", rows_per_task: int | None = None) -> DataFrame:
+    """Join facts to one row per key that knows how many facts it has. Keys with more than a task's
+    rows are few (total / limit) and are broadcast; the other keys are shuffled."""
+    hot = dim.where(F.col(count) > (rows_per_task or ROWS_PER_TASK))
+    if hot.isEmpty():
+        return facts.join(dim, keys, how)
+    cold = dim.where(F.col(count) <= (rows_per_task or ROWS_PER_TASK))
+    rest = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return facts.join(F.broadcast(hot), keys).unionByName(rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprspark.functions.ordering import medians, spread_join
+from exprspark.functions.ordering import largest_group, medians, one_row, spread_join
 from exprspark.functions.text import GENE_PATTERN, GENE_VERSION_PATTERN, blank, normalise_identifier
 
 
@@ -85,9 +85,10 @@ def annotate_probes(probes: DataFrame, clusters: DataFrame, annotation: DataFram
 
 def median_absolute_deviation(cells: DataFrame, by: list[str], constant: float = 1.0) -> DataFrame:
     """Two passes: centre, then the median distance to it."""
-    centre = medians(cells, by, "value", "_centre")
-    away = cells.join(centre, by) if by else cells.crossJoin(F.broadcast(centre))
-    spread = medians(away.withColumn("_away", F.abs(F.col("value") - F.col("_centre"))), by, "_away", "mad")
+    size = largest_group(cells, by)
+    centre = medians(cells, by, "value", "_centre", size)
+    away = cells.join(centre, by) if by else one_row(cells, centre)
+    spread = medians(away.withColumn("_away", F.abs(F.col("value") - F.col("_centre"))), by, "_away", "mad", size)
     return spread.withColumn("mad", F.col("mad") * F.lit(constant))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprspark.functions.ordering import average_ranks, medians, one_row, quantiles, spread_join, tie_quantiles
+from exprspark.functions.ordering import average_ranks, counted_join, medians, one_row, quantiles, spread_join, tie_quantiles
 from exprspark.functions.text import rounded
 from exprspark.operators.mapping import median_absolute_deviation
 from exprspark.operators.matrix import pca, sample_correlation
+from exprspark.session import cut
 
 
 def feature_total(cells: DataFrame) -> DataFrame:
@@ -28,6 +29,7 @@ def sample_qc(cells: DataFrame, features: DataFrame | None = None) -> DataFrame:
 
 def flag_samples(qc: DataFrame) -> DataFrame:
     """REVIEW when the library is below a fifth, or detection below half, of the cohort median."""
+    qc = cut(qc)
     middle = one_row(medians(qc, [], "library_size", "median_library"), medians(qc, [], "detected_features", "median_detected"))
     reasons = F.array_compact(F.array(
         F.when((F.col("median_library") > 0) & (F.col("library_size") < F.col("median_library") * 0.2), "LOW_LIBRARY_SIZE"),
@@ -86,6 +88,7 @@ def pca_distance(cells: DataFrame) -> DataFrame:
 def tukey_flags(df: DataFrame, column: str, side: str, key: str = "sample_id") -> DataFrame:
     """Rows beyond three interquartile ranges; fewer than four rows, or a non-finite one, flag
     nothing."""
+    df = cut(df)
     fences = quantiles(df, [], column, {"q1": 0.25, "q3": 0.75})
     state = df.agg(
         F.count(F.lit(1)).alias("_n"),
@@ -98,6 +101,7 @@ def tukey_flags(df: DataFrame, column: str, side: str, key: str = "sample_id") -
 
 def robust_z(df: DataFrame, column: str) -> DataFrame:
     """Adds `<column>_z`: distance to the median in units of 1.4826 MAD, 0 when that is zero."""
+    df = cut(df)
     values = df.select(F.col(column).alias("value"))
     side = one_row(medians(values, [], "value", "_centre"), median_absolute_deviation(values, [], 1.4826))
     z = F.when(F.col("mad") > 0, (F.col(column) - F.col("_centre")) / F.col("mad")).otherwise(0.0)
@@ -165,24 +169,25 @@ def _upper_quartiles(cells: DataFrame, libraries: DataFrame) -> DataFrame:
 def tmm_factors(cells: DataFrame, log_ratio_trim: float = 0.3, sum_trim: float = 0.05) -> DataFrame:
     """Trimmed mean of M-values per sample against the sample whose upper quartile is nearest the
     mean (Robinson and Oshlack 2010); factors multiply to one."""
-    cells = cells.where("value > 0")
+    cells = cut(cells.where("value > 0").select("feature_id", "sample_id", "value"))
     libraries = cells.groupBy("sample_id").agg(F.sum("value").alias("library_size"))
     quartiles = _upper_quartiles(cells, libraries)
+    quartiles = cut(quartiles)
     nearest = one_row(quartiles, quartiles.agg(F.avg("f75").alias("_mean"))).agg(
         F.min_by("sample_id", F.struct(F.abs(F.col("f75") - F.col("_mean")), F.col("sample_id"))).alias("_ref"))
     with_ref = one_row(cells.join(libraries, "sample_id"), nearest)
     ref = with_ref.where(F.col("sample_id") == F.col("_ref")).select(
         "feature_id", F.col("value").alias("_rv"), F.col("library_size").alias("_rl"))
     obs, r = F.col("value") / F.col("library_size"), F.col("_rv") / F.col("_rl")
-    pairs = spread_join(with_ref.drop("_ref"), ref, ["feature_id"], "sample_id").select(
+    pairs = cut(spread_join(with_ref.drop("_ref"), ref, ["feature_id"], "sample_id").select(
         "sample_id", "feature_id", F.log2(obs / r).alias("m"), ((F.log2(obs) + F.log2(r)) / 2).alias("a"),
         ((F.col("library_size") - F.col("value")) / F.col("library_size") / F.col("value")
-         + (F.col("_rl") - F.col("_rv")) / F.col("_rl") / F.col("_rv")).alias("v"))
+         + (F.col("_rl") - F.col("_rv")) / F.col("_rl") / F.col("_rv")).alias("v")))
     size = pairs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.abs("m")).alias("_far"))
-    ranked = (
-        pairs.join(average_ranks(pairs, ["sample_id"], "m").select("sample_id", "m", F.col("avg_rank").alias("_rm")), ["sample_id", "m"])
-        .join(average_ranks(pairs, ["sample_id"], "a").select("sample_id", "a", F.col("avg_rank").alias("_ra")), ["sample_id", "a"])
-    )
+    ranked = pairs
+    for value, rank in (("m", "_rm"), ("a", "_ra")):
+        places = average_ranks(pairs, ["sample_id"], value).select("sample_id", value, F.col("avg_rank").alias(rank), "ties")
+        ranked = counted_join(ranked, places, ["sample_id", value], "ties").drop("ties")
     ranked = spread_join(ranked, size, ["sample_id"], "feature_id")
     low_m, low_a = F.floor(F.col("_n") * log_ratio_trim) + 1, F.floor(F.col("_n") * sum_trim) + 1
     inside = F.col("_rm").between(low_m, F.col("_n") + 1 - low_m) & F.col("_ra").between(low_a, F.col("_n") + 1 - low_a)
@@ -190,6 +195,7 @@ def tmm_factors(cells: DataFrame, log_ratio_trim: float = 0.3, sum_trim: float =
         F.sum(F.when(inside, F.col("m") / F.col("v"))).alias("_wm"), F.sum(F.when(inside, 1 / F.col("v"))).alias("_w"), F.max("_far").alias("_far"))
     log_factor = F.when((F.col("_far") < 1e-6) | F.col("_w").isNull() | (F.col("_w") == 0), 0.0).otherwise(F.col("_wm") / F.col("_w"))
     factors = libraries.join(per, "sample_id", "left").select("sample_id", "library_size", F.coalesce(log_factor, F.lit(0.0)).alias("_f"))
+    factors = cut(factors)
     return one_row(factors, factors.agg(F.avg("_f").alias("_mean"))).select(
         "sample_id", "library_size", F.pow(F.lit(2.0), F.col("_f") - F.col("_mean")).alias("norm_factor"))
 

@@ -21,6 +21,12 @@ def _finding(df: DataFrame, code: str, message: Column | str, location: Column,
     )
 
 
+def finding(df: DataFrame, code: str, subject: Column | str = "", severity: str = "ERROR") -> DataFrame:
+    """(severity, code, subject) rows."""
+    column = subject if isinstance(subject, Column) else F.lit(subject)
+    return df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), column.alias("subject"))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

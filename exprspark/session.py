@@ -43,10 +43,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise once into the shared checkpoint folder, so that later steps start from files
-    that outlive executors."""
-    spark = df.sparkSession
-    root = scratch_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write a table into the shared scratch folder once and go on from its files: they outlive
+    executors, end the lineage, and give later joins true sizes."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
