@@ -32,6 +32,9 @@ FOREST_CANDIDATES = [{"maxDepth": 12, "minInstancesPerNode": 1}, {"maxDepth": 5,
 BOOST_CANDIDATES = [{"maxDepth": 3}, {"maxDepth": 4}]
 
 
+CELLS_PER_PARTITION = 500_000
+
+
 @dataclass
 class Config:
     features: int = 500
@@ -44,7 +47,7 @@ class Config:
     calibrate: bool = True
     tune_threshold: bool = True
     candidates: list[tuple[float, float]] = field(default_factory=lambda: list(CANDIDATES))
-    threads: int = 4
+    threads: int = 8
 
 
 # ---- design audit and folds
@@ -148,13 +151,13 @@ def _vector(entries, size):
 class Prepared:
     """Scaled vectors of the training rows and of the rows to score, and how they were scaled."""
 
-    train: DataFrame
+    train: DataFrame  # weighted
     test: DataFrame
     selected: DataFrame  # feature_id, i, mean, sd
-    size: int
+    samples: int
 
 
-def prepare_fold(cells: DataFrame, train: DataFrame, test: DataFrame, features: int) -> Prepared:
+def prepare_fold(cells: DataFrame, train: DataFrame, test: DataFrame, features: int, balanced: bool = True) -> Prepared:
     """Variance filter and scaling learnt from the training samples only. Vectors hold value/sd:
     centring would only move the unpenalised intercept, so absent cells stay absent."""
     samples = train.count()
@@ -165,6 +168,8 @@ def prepare_fold(cells: DataFrame, train: DataFrame, test: DataFrame, features:
     sd = F.when(F.col("var_pop") > 0, F.sqrt("var_pop")).otherwise(1.0)
     selected = cut(numbered.select("feature_id", (F.col("_rn") - 1).cast("int").alias("i"), "mean", sd.alias("sd")))
     size = selected.count()
+    # every step of a fit runs one task per partition: small folds need few
+    partitions = max(1, samples * size // CELLS_PER_PARTITION)
 
     def vectors(rows: DataFrame) -> DataFrame:
         scaled = cells.join(rows.select("sample_id"), "sample_id", "left_semi").join(selected, "feature_id")
@@ -173,9 +178,9 @@ def prepare_fold(cells: DataFrame, train: DataFrame, test: DataFrame, features:
         per = scaled.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
         full = rows.join(per, "sample_id", "left")
         empty = F.array().cast("array<struct<i:int,v:double>>")
-        return full.select(*rows.columns, _vector(F.coalesce("e", empty), F.lit(size)).alias("features"))
+        return full.select(*rows.columns, _vector(F.coalesce("e", empty), F.lit(size)).alias("features")).coalesce(partitions)
 
-    return Prepared(vectors(train).persist(), vectors(test).persist(), selected, size)
+    return Prepared(vectors(_with_weights(train, balanced)).persist(), vectors(test).persist(), selected, samples)
 
 
 def _with_weights(rows: DataFrame, balanced: bool) -> DataFrame:
@@ -186,13 +191,12 @@ def _with_weights(rows: DataFrame, balanced: bool) -> DataFrame:
     return one_row(rows.join(F.broadcast(counts), "label"), whole).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
 
 
-def fit_enet(train: DataFrame, c: float, ratio: float, balanced: bool, family: str = "binomial"):
+def fit_enet(prepared: Prepared, c: float, ratio: float, family: str = "binomial"):
     """Elastic-net logistic fit with the library objective C * loss + penalty: the same optimum as a
     mean loss with penalty 1 / (C n)."""
-    rows = _with_weights(train, balanced)
     model = LogisticRegression(
-        regParam=1.0 / (c * rows.count()), elasticNetParam=ratio, standardization=False, weightCol="weight", family=family, tol=1e-8, maxIter=500)
-    return model.fit(rows)
+        regParam=1.0 / (c * prepared.samples), elasticNetParam=ratio, standardization=False, weightCol="weight", family=family, tol=1e-6, maxIter=300)
+    return model.fit(prepared.train)
 
 
 def _decision(model, rows: DataFrame) -> DataFrame:
@@ -231,11 +235,11 @@ def tune(cells: DataFrame, labels: DataFrame, config: Config, seed: int) -> tupl
     folds = cut(assign_folds(labels, config.inner_folds, 1, seed))
     tasks, prepared = [], []
     for fold in range(1, config.inner_folds + 1):
-        p = prepare_fold(cells, _rows(folds.where(F.col("fold") != fold)), _rows(folds.where(F.col("fold") == fold)), config.features)
+        p = prepare_fold(cells, _rows(folds.where(F.col("fold") != fold)), _rows(folds.where(F.col("fold") == fold)), config.features, config.balanced)
         prepared.append(p)
         for index, (c, ratio) in enumerate(config.candidates):
             def job(p=p, c=c, ratio=ratio, index=index):
-                model = fit_enet(p.train, c, ratio, config.balanced)
+                model = fit_enet(p, c, ratio)
                 return _decision(model, p.test).select("sample_id", F.col("label").cast("int").alias("y"), F.lit(index).alias("candidate"), "decision")
 
             tasks.append(job)
@@ -284,6 +288,7 @@ def _coefficients(model, prepared: Prepared) -> DataFrame:
 def nested_cv(cells: DataFrame, labels: DataFrame, config: Config, fold_labels: DataFrame | None = None) -> Validation:
     """Repeated outer folds; inside each, tuning, calibration, threshold and the fit see training
     samples only. `fold_labels` fixes the folds when `labels` are permuted."""
+    cells = cut(cells)
     assigned = cut(assign_folds(fold_labels if fold_labels is not None else labels, config.outer_folds, config.repeats, config.seed))
     if not check_leakage(assigned).isEmpty():
         raise ValueError("A unit sits in more than one outer fold.")
@@ -299,8 +304,8 @@ def nested_cv(cells: DataFrame, labels: DataFrame, config: Config, fold_labels:
             threshold = 0.5
             if config.tune_threshold:
                 threshold = float(youden(decisions.select("y", _calibrated(F.col("decision"), line).alias("p"))).first()["threshold"])
-            p = prepare_fold(cells, _rows(train_labels), _rows(test), config.features)
-            model = fit_enet(p.train, c, ratio, config.balanced)
+            p = prepare_fold(cells, _rows(train_labels), _rows(test), config.features, config.balanced)
+            model = fit_enet(p, c, ratio)
             scored = _decision(model, p.test).withColumn("p", _calibrated(F.col("decision"), line))
             predictions.append(cut(scored.select(
                 F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "sample_id", "group", F.col("label").cast("int").alias("y"), "p",
@@ -373,8 +378,8 @@ def learning_curve(cells: DataFrame, labels: DataFrame, validation: Validation,
                 part = train.withColumn("unit", unit).join(chosen, "unit", "left_semi").drop("unit")
                 if part.select("y").distinct().count() != 2:
                     part = train
-                p = prepare_fold(cells, _rows(part), _rows(test), config.features)
-                scored = _decision(fit_enet(p.train, record.c, record.ratio, config.balanced), p.test)
+                p = prepare_fold(cells, _rows(part), _rows(test), config.features, config.balanced)
+                scored = _decision(fit_enet(p, record.c, record.ratio), p.test)
                 auc = ranking_metrics(score_counts(scored.select(F.col("label").cast("int").alias("y"), F.col("decision").alias("p")))).first()["roc_auc"]
                 _release([p])
                 return fraction, record.repeat, record.fold, float(auc)
@@ -392,6 +397,7 @@ def _tree(algorithm: str, parameters: dict, seed: int):
 
 def compare_models(cells: DataFrame, labels: DataFrame, config: Config, grids: dict[str, list[dict]] | None = None) -> DataFrame:
     """Forest and boosted trees on the same outer folds, tuned on inner folds: (method, metrics)."""
+    cells = cut(cells)
     grids = grids or {"random_forest": FOREST_CANDIDATES, "boosted_trees": BOOST_CANDIDATES}
     assigned = cut(assign_folds(labels, config.outer_folds, config.repeats, config.seed))
     out = []
@@ -402,8 +408,8 @@ def compare_models(cells: DataFrame, labels: DataFrame, config: Config, grids: d
                 train, test = cut(here.where(F.col("fold") != fold).select("sample_id", "y", "group")), here.where(F.col("fold") == fold)
                 seed = config.seed + 140_000 + repeat * 100 + fold
                 best = grid[0] if len(grid) == 1 else _tune_tree(cells, train, config, algorithm, grid, seed)
-                p = prepare_fold(cells, _rows(train), _rows(test), config.features)
-                model = _tree(algorithm, best, seed + 5_000).fit(_with_weights(p.train, config.balanced))
+                p = prepare_fold(cells, _rows(train), _rows(test), config.features, config.balanced)
+                model = _tree(algorithm, best, seed + 5_000).fit(p.train)
                 out.append(cut(model.transform(p.test).select(
                     F.lit(algorithm).alias("method"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))))
                 _release([p])
@@ -415,11 +421,11 @@ def _tune_tree(cells: DataFrame, train: DataFrame, config: Config, algorithm: st
     folds = cut(assign_folds(train, config.inner_folds, 1, seed))
     tasks, prepared = [], []
     for fold in range(1, config.inner_folds + 1):
-        p = prepare_fold(cells, _rows(folds.where(F.col("fold") != fold)), _rows(folds.where(F.col("fold") == fold)), config.features)
+        p = prepare_fold(cells, _rows(folds.where(F.col("fold") != fold)), _rows(folds.where(F.col("fold") == fold)), config.features, config.balanced)
         prepared.append(p)
         for index, parameters in enumerate(grid):
             def job(p=p, index=index, parameters=parameters, fold=fold):
-                model = _tree(algorithm, parameters, seed + index * 100 + fold).fit(_with_weights(p.train, config.balanced))
+                model = _tree(algorithm, parameters, seed + index * 100 + fold).fit(p.train)
                 return model.transform(p.test).select(F.lit(index).alias("candidate"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
 
             tasks.append(job)
@@ -443,8 +449,8 @@ def nested_cv_multiclass(cells: DataFrame, labels: DataFrame, config: Config) ->
             here = assigned.where(F.col("repeat") == repeat)
             train, test = cut(here.where(F.col("fold") != fold).select("sample_id", "y", "group")), here.where(F.col("fold") == fold)
             c, ratio = _tune_multiclass(cells, train, config, classes, config.seed + 10_000 + repeat * config.outer_folds + fold)
-            p = prepare_fold(cells, _rows(train), _rows(test), config.features)
-            model = fit_enet(p.train, c, ratio, config.balanced, "multinomial")
+            p = prepare_fold(cells, _rows(train), _rows(test), config.features, config.balanced)
+            model = fit_enet(p, c, ratio, "multinomial")
             out.append(cut(_long_probabilities(model, p.test, classes).select(F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "*")))
             records.append(Fold(repeat, fold, c, ratio, 0.5))
             _release([p])
@@ -461,11 +467,11 @@ def _tune_multiclass(cells: DataFrame, labels: DataFrame, config: Config, classe
     folds = cut(assign_folds(labels, config.inner_folds, 1, seed))
     tasks, prepared = [], []
     for fold in range(1, config.inner_folds + 1):
-        p = prepare_fold(cells, _rows(folds.where(F.col("fold") != fold)), _rows(folds.where(F.col("fold") == fold)), config.features)
+        p = prepare_fold(cells, _rows(folds.where(F.col("fold") != fold)), _rows(folds.where(F.col("fold") == fold)), config.features, config.balanced)
         prepared.append(p)
         for index, (c, ratio) in enumerate(config.candidates):
             def job(p=p, c=c, ratio=ratio, index=index):
-                return _long_probabilities(fit_enet(p.train, c, ratio, config.balanced, "multinomial"), p.test, classes).withColumn("candidate", F.lit(index))
+                return _long_probabilities(fit_enet(p, c, ratio, "multinomial"), p.test, classes).withColumn("candidate", F.lit(index))
 
             tasks.append(job)
     scored = cut(union_all(_pool(config.threads, tasks)))
@@ -498,8 +504,8 @@ def lock_model(cells: DataFrame, labels: DataFrame, config: Config, negative: st
     threshold = 0.5
     if config.tune_threshold:
         threshold = float(youden(decisions.select("y", _calibrated(F.col("decision"), line).alias("p"))).first()["threshold"])
-    p = prepare_fold(cells, _rows(labels), _rows(labels), config.features)
-    model = fit_enet(p.train, c, ratio, config.balanced)
+    p = prepare_fold(cells, _rows(labels), _rows(labels), config.features, config.balanced)
+    model = fit_enet(p, c, ratio)
     table = cut(_coefficients(model, p).select("feature_id", "mean", F.col("sd").alias("scale"), F.lit(positive).alias("class"), "coefficient"))
     _release([p])
     # vectors were not centred, so the centred form moves the means into the intercept
@@ -511,8 +517,8 @@ def lock_model_multiclass(cells: DataFrame, labels: DataFrame, config: Config) -
     classes = [r[0] for r in labels.select(F.col("y").cast("string")).distinct().orderBy("y").collect()]  # 3 to 20
     coded = cut(labels.withColumn("y", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("string")) - 1))
     c, ratio = _tune_multiclass(cells, coded, config, classes, config.seed + 120_000)
-    p = prepare_fold(cells, _rows(coded), _rows(coded), config.features)
-    model = fit_enet(p.train, c, ratio, config.balanced, "multinomial")
+    p = prepare_fold(cells, _rows(coded), _rows(coded), config.features, config.balanced)
+    model = fit_enet(p, c, ratio, "multinomial")
     matrix = model.coefficientMatrix.toArray()
     rows = [(i, name, float(matrix[k, i])) for k, name in enumerate(classes) for i in range(matrix.shape[1])]
     values = p.selected.sparkSession.createDataFrame(rows, "i int, class string, coefficient double")

@@ -30,7 +30,7 @@ def score_counts(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
 
 
 def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -41,11 +41,11 @@ def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def ranking_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC area by rank sums and average precision, in one ordered pass."""
     placed = _with_totals(running(counts, by, ["p"], ["pos", "neg"]), by)
-    above_pos = F.col("P") - F.col("pos_before")
-    above = F.col("P") + F.col("N") - F.col("pos_before") - F.col("neg_before")
+    above_pos = F.col("all_pos") - F.col("pos_before")
+    above = F.col("all_pos") + F.col("all_neg") - F.col("pos_before") - F.col("neg_before")
     return placed.groupBy(*by).agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (F.max("P") * F.max("N"))).alias("roc_auc"),
-        F.sum(F.col("pos") / F.col("P") * above_pos / above).alias("pr_auc"))
+        (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (F.max("all_pos") * F.max("all_neg"))).alias("roc_auc"),
+        F.sum(F.col("pos") / F.col("all_pos") * above_pos / above).alias("pr_auc"))
 
 
 def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +86,7 @@ def youden(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     whole = counts.unionByName(fixed).groupBy(*by, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     placed = _with_totals(running(whole, by, ["p"], ["pos", "neg"]), by)
     one = F.lit(1)
-    j = (F.col("P") - F.col("pos_before")) / F.greatest("P", one) + F.col("neg_before") / F.greatest("N", one) - 1
+    j = (F.col("all_pos") - F.col("pos_before")) / F.greatest("all_pos", one) + F.col("neg_before") / F.greatest("all_neg", one) - 1
     best = F.max_by(F.struct(F.col("p").alias("threshold"), j.alias("youden")), F.struct(F.round(j, 12), -F.abs(F.col("p") - 0.5), F.col("p")))
     return placed.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
@@ -99,8 +99,8 @@ def roc_points(pred: DataFrame) -> DataFrame:
     following = numbered.select((F.col("rn") - 1).alias("rn"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
     bend = F.col("next_pos").isNull() | (F.col("rn") == 1) | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     points = numbered.join(following, "rn", "left").where(bend).select(
-        ((F.col("N") - F.col("neg_before")) / F.col("N")).alias("false_positive_rate"),
-        ((F.col("P") - F.col("pos_before")) / F.col("P")).alias("true_positive_rate"), F.col("p").alias("threshold"))
+        ((F.col("all_neg") - F.col("neg_before")) / F.col("all_neg")).alias("false_positive_rate"),
+        ((F.col("all_pos") - F.col("pos_before")) / F.col("all_pos")).alias("true_positive_rate"), F.col("p").alias("threshold"))
     origin = _totals(counts, []).select(F.lit(0.0).alias("false_positive_rate"), F.lit(0.0).alias("true_positive_rate"), F.lit(None).cast("double").alias("threshold"))
     return points.unionByName(origin)
 
@@ -108,9 +108,9 @@ def roc_points(pred: DataFrame) -> DataFrame:
 def precision_recall_points(pred: DataFrame) -> DataFrame:
     counts = score_counts(pred)
     placed = _with_totals(running(counts, [], ["p"], ["pos", "neg"]), [])
-    above = F.col("P") - F.col("pos_before")
+    above = F.col("all_pos") - F.col("pos_before")
     points = placed.select(
-        (above / F.col("P")).alias("recall"), (above / (above + F.col("N") - F.col("neg_before"))).alias("precision"), F.col("p").alias("threshold"))
+        (above / F.col("all_pos")).alias("recall"), (above / (above + F.col("all_neg") - F.col("neg_before"))).alias("precision"), F.col("p").alias("threshold"))
     end = _totals(counts, []).select(F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold"))
     return points.unionByName(end)
 

@@ -82,7 +82,7 @@ def _(v):
     return show(M.precision_recall_points(binary(v)))
 
 
-@query("clf_calibration", "p_binary", sql="""select cast(least(len(list_filter([0.0, 0.1, 0.2, 3 * 0.1::double, 0.4, 0.5, 6 * 0.1::double, 7 * 0.1::double, 0.8, 0.9, 1.0], x -> x <= p)), 10) as int) as bin, round(avg(p), 6) as predicted_probability, round(avg(y), 6) as observed_fraction, count(*) as sample_count from p_binary group by 1""")
+@query("clf_calibration", "p_binary", sql="""select cast(least(len(list_filter([0.0, 0.1, 0.2, 3 * 0.1::double, 0.4, 0.5, 6 * 0.1::double, 7 * 0.1::double, 0.8, 0.9, 1.0], lambda x: x <= p)), 10) as int) as bin, round(avg(p), 6) as predicted_probability, round(avg(y), 6) as observed_fraction, count(*) as sample_count from p_binary group by 1""")
 def _(v):
     return show(M.calibration_bins(binary(v)))
 
@@ -217,7 +217,7 @@ def _(v):
 
 # ---- fitted classifiers on the embedding matrix
 
-SMALL = C.Config(features=32, outer_folds=2, inner_folds=2, repeats=1, seed=4, candidates=[(0.05, 0.5), (0.5, 0.5), (5.0, 0.0)])
+SMALL = C.Config(features=32, outer_folds=2, inner_folds=2, repeats=1, seed=4, candidates=[(0.05, 0.5), (0.5, 0.0)])
 
 
 def embed_labels(v) -> DataFrame:
@@ -234,7 +234,7 @@ def embed_classes(v) -> DataFrame:
 def _(v):
     rows = C._rows(embed_labels(v))
     prepared = C.prepare_fold(v.embed, rows, rows, 64)
-    model = C.fit_enet(prepared.train, 0.5, 0.5, True)
+    model = C.fit_enet(prepared, 0.5, 0.5)
     return show(C._coefficients(model, prepared))
 
 
@@ -258,7 +258,7 @@ def _(v):
 
 @query("clf_permutation_control")
 def _(v):
-    return show(C.permutation_control(v.embed, embed_labels(v), C.replace(SMALL, candidates=[(0.5, 0.5)]), 2, 0.6))
+    return show(C.permutation_control(v.embed, embed_labels(v), C.replace(SMALL, candidates=[(0.5, 0.5)]), 1, 0.6))
 
 
 @query("clf_learning_curve")
@@ -351,7 +351,8 @@ def _(v):
 
 SCORED = "sc as (select p_type as set_id, r_name as level, l_suppkey as sample_id, avg(l_quantity) as score from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2, 3)"
 AUC = """rk as (select {k}, level, score, rank() over (partition by {k} order by score) + (count(*) over (partition by {k}, score) - 1) / 2.0 as r from sc),
- au as (select {k}, (sum(r) filter (level = '{n}') - count(*) filter (level = '{n}') * (count(*) filter (level = '{n}') + 1) / 2) / (count(*) filter (level = '{n}') * count(*) filter (level <> '{n}')) as auc from rk group by 1)"""
+ au as (select {k}, (sum(r) filter (level = '{n}') - count(*) filter (level = '{n}') * (count(*) filter (level = '{n}') + 1) / 2) / (count(*) filter (level = '{n}') * count(*) filter (level <> '{n}')) as auc,
+  (count(*) filter (level = '{n}') * count(*) filter (level <> '{n}') - (sum(r) filter (level = '{n}') - count(*) filter (level = '{n}') * (count(*) filter (level = '{n}') + 1) / 2)) / (count(*) filter (level = '{n}') * count(*) filter (level <> '{n}')) as nauc from rk group by 1)"""
 
 
 def set_scores(v) -> DataFrame:
@@ -366,7 +367,7 @@ def _(v):
 
 
 @query("sig_benchmark", sql=f"""with {SCORED}, {AUC.format(k='set_id', n='ASIA')}, ef as (select set_id, avg(score) filter (level = 'ASIA') - avg(score) filter (level <> 'ASIA') as effect from sc group by 1),
- j as (select 'mean' as method, set_id, effect, auc, effect > 0 and auc >= 0.5 as passed from ef join au using (set_id) union all select 'negated', set_id, -effect, 1 - auc, -effect > 0 and 1 - auc >= 0.5 from ef join au using (set_id)),
+ j as (select 'mean' as method, set_id, effect, auc, effect > 0 and auc >= 0.5 as passed from ef join au using (set_id) union all select 'negated', set_id, -effect, nauc, -effect > 0 and nauc >= 0.5 from ef join au using (set_id)),
  m as (select method, bool_and(passed) as method_passed from j group by 1)
  select method, set_id, round(effect, 6) as effect, round(auc, 6) as auc, passed, method_passed, (select method from m where method_passed order by method desc limit 1) as selected_method from j join m using (method)""")
 def _(v):
@@ -611,12 +612,12 @@ def _(v):
     return U.near_threshold(v.replicates, 10.0, 0.5).select("measurement_id", "score")
 
 
-BRIDGE = """br as (select a.biological_sample_id, a.value / 20 as reference_score, b.value / 20 as comparator_score, b.value / 20 - a.value / 20 as difference, (a.value >= 20) = (b.value >= 20) as call_agreement, b.run as comparator_run, b.quality_metric < 0.1 as qc_failure, b.n as comparator_n
+BRIDGE = """br as (select a.biological_sample_id, a.value / 20 as reference_score, b.value / 20 as comparator_score, b.value / 20 - a.value / 20 as difference, (a.value >= 48) = (b.value >= 48) as call_agreement, b.run as comparator_run, b.quality_metric < 0.1 as qc_failure, b.n as comparator_n
  from a_pairs a join a_pairs b using (biological_sample_id) where a.condition = 'view' and b.condition = 'click')"""
 
 
 def bridge(v) -> DataFrame:
-    rows = v.pairs.withColumn("score", F.col("value") / 20).withColumn("call", F.when(F.col("value") >= 20, "high").otherwise("low"))
+    rows = v.pairs.withColumn("score", F.col("value") / 20).withColumn("call", F.when(F.col("value") >= 48, "high").otherwise("low"))
     return U.bridge_pairs(rows, "view", "click", ["run", "quality_metric", "n"]).withColumn("qc_failure", F.col("comparator_quality_metric") < 0.1)
 
 
@@ -632,9 +633,9 @@ def _(v):
     return show(U.subgroup_review(bridge(v), "comparator_run"))
 
 
-@query("stu_bridge_near", "a_pairs", sql=f", {BRIDGE} select biological_sample_id from br where least(abs(reference_score - 1.0), abs(comparator_score - 1.0)) <= 0.05")
+@query("stu_bridge_near", "a_pairs", sql=f", {BRIDGE} select biological_sample_id from br where least(abs(reference_score - 2.4), abs(comparator_score - 2.4)) <= 0.05")
 def _(v):
-    return U.near_threshold(bridge(v), 1.0, 0.05, ("reference_score", "comparator_score")).select("biological_sample_id")
+    return U.near_threshold(bridge(v), 2.4, 0.05, ("reference_score", "comparator_score")).select("biological_sample_id")
 
 
 @query("stu_deming", "a_pairs", sql=f""", {BRIDGE}, s as (select avg(reference_score) as mx, avg(comparator_score) as my, var_samp(reference_score) as sxx, var_samp(comparator_score) as syy, covar_samp(reference_score, comparator_score) as sxy from br),
