@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from exprspark.functions.ordering import spread_join
 from exprspark.operators.matrix import scale_features, top_variable
 from exprspark.operators.score import score_mean
+from exprspark.session import cut
 
 
 def decon_markers(cells: DataFrame, markers: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def decon_fractions(cells: DataFrame, signature: DataFrame) -> DataFrame:
     """Non-negative fractions with sum at most one that best rebuild each sample from a signature
     (gene, cell_type_id, value); what is left over is `other`. The K x K products of the signature
     reach the driver, the K sums per sample stay in their row."""
-    genes = signature.join(cells.select(F.col("feature_id").alias("gene")).distinct(), "gene", "left_semi")
+    genes = cut(signature.join(cells.select(F.col("feature_id").alias("gene")).distinct(), "gene", "left_semi"))
     profile = genes.alias("a").join(genes.alias("b"), "gene").groupBy(F.col("a.cell_type_id").alias("i"), F.col("b.cell_type_id").alias("j")).agg(
         F.sum(F.col("a.value") * F.col("b.value")).alias("v")).toPandas()  # populations squared
     names = sorted(set(profile["i"]))
@@ -80,9 +81,10 @@ def decon_fractions(cells: DataFrame, signature: DataFrame) -> DataFrame:
 
     def solve(batches):
         for batch in batches:
-            for sample, c in zip(batch["sample_id"], batch["c"]):
-                x = _bounded_fit(g, np.asarray(c, dtype=float))
-                yield pd.DataFrame({"sample_id": sample, "cell_type_id": [*names, "other"], "value": [*x, max(0.0, 1 - x.sum())]})
+            fits = [_bounded_fit(g, np.asarray(c, dtype=float)) for c in batch["c"]]
+            yield pd.DataFrame({
+                "sample_id": np.repeat(batch["sample_id"].to_numpy(object), len(names) + 1), "cell_type_id": [*names, "other"] * len(fits),
+                "value": [v for x in fits for v in (*x, max(0.0, 1 - x.sum()))]})
 
     return per.mapInPandas(solve, "sample_id string, cell_type_id string, value double")
 

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exprspark.session import cut
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -21,10 +23,11 @@ class Views:
 
     @cached_property
     def counts(self) -> DataFrame:
+        """The cell table. It is written once: operators pass over their matrix several times."""
         line = self.table("lineitem")
-        return line.groupBy(
+        return cut(line.groupBy(
             F.col("l_partkey").cast("string").alias("feature_id"), F.col("l_suppkey").cast("string").alias("sample_id")
-        ).agg(F.sum("l_quantity").alias("value"))
+        ).agg(F.sum("l_quantity").alias("value")))
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -37,8 +40,9 @@ class Views:
         )
 
     def _counts_by(self, column: str) -> DataFrame:
-        side = self.meta.select("sample_id", F.col(column).alias("_group"))
-        return self.counts.join(side, "sample_id").groupBy("feature_id", F.col("_group").alias("sample_id")).agg(F.sum("value").alias("value"))
+        side = self.meta.select(F.col("sample_id").cast("bigint").alias("l_suppkey"), F.col(column).alias("sample_id"))
+        joined = self.table("lineitem").join(side, "l_suppkey")
+        return cut(joined.groupBy(F.col("l_partkey").cast("string").alias("feature_id"), "sample_id").agg(F.sum("l_quantity").alias("value")))
 
     @cached_property
     def region_counts(self) -> DataFrame:
