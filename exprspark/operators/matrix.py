@@ -15,7 +15,7 @@ from exprspark.functions.ordering import one_row, row_numbers, spread_join
 from exprspark.session import cut
 
 SAMPLES_PER_TILE = 256
-FEATURES_PER_TILE = 1024
+FEATURES_PER_TILE = 2048
 GRAM_ON_DRIVER = 2000
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprspark.functions.text import rounded
 from exprspark.operators import classifier as C
 from exprspark.operators import experiments as E
 from exprspark.operators import factorial as Y
