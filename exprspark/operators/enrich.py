@@ -13,6 +13,10 @@ from exprspark.operators.results import TINY
 from exprspark.session import cut
 
 
+# sums in another order differ by this much: such extremes are equal, and equal ones count as up
+ROUNDING = 1e-12
+
+
 def rank_features(de: DataFrame) -> DataFrame:
     """(feature_id, score, position): signed -log10 p, largest first, ties by id."""
     p, change = F.col("p_value"), F.col("log2_fold_change")
@@ -54,7 +58,7 @@ def gsea_score(ranks: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFra
         F.min(F.struct(-F.col("high"), F.col("position"))).alias("_top"), F.min(F.struct(F.col("low"), F.col("position"))).alias("_bottom"))
     high, low = -F.col("_top.col1"), F.col("_bottom.low")
     whole = F.col("set_size") == F.col("feature_count")
-    up = F.abs(high) >= F.abs(low)
+    up = F.abs(high) >= F.abs(low) - ROUNDING
     scored = extremes.select(
         "set_id", "set_size", F.when(whole, 0.0).when(up, high).otherwise(low).alias("enrichment_score"),
         F.when(whole, F.lit(None)).when(up, F.col("_top.position")).otherwise(F.col("_bottom.position")).alias("_edge"), up.alias("_up"))
@@ -77,7 +81,7 @@ def gsea_permute(ranks: DataFrame, members: DataFrame, permutations: int, seed:
     wanted = members.join(places.drop("_key"), "feature_id").join(weights, "position")
     nulls = running_extremes(one_row(wanted, total), ["set_id", "permutation"]).groupBy("set_id", "permutation").agg(
         F.max("high").alias("_h"), F.min("low").alias("_l"))
-    score = F.when(F.abs("_h") >= F.abs("_l"), F.col("_h")).otherwise(F.col("_l"))
+    score = F.when(F.abs("_h") >= F.abs("_l") - ROUNDING, F.col("_h")).otherwise(F.col("_l"))
     nulls = nulls.select("set_id", score.alias("null_score"))
     es, ns = F.col("enrichment_score"), F.col("null_score")
     same = F.when(es >= 0, ns >= 0).otherwise(ns < 0)

@@ -421,11 +421,20 @@ def _(v):
     return E.gsea_score(ranks, E.eligible_sets(v.sets, ranks, 1, 10**9))[1]
 
 
-@query("gse_permute")
+PERMUTED = f"""obs as (select set_id, set_size, case when abs(hi) >= abs(lo) then hi else lo end as es from ext),
+ pm as (select feature_id, permutation, row_number() over (partition by permutation order by cast('0x' || substr(md5('11|' || permutation || '|' || feature_id), 1, 15) as bigint), feature_id) as position from rp, (select unnest(range(1, 61)) as permutation)),
+ ph as (select st.set_id, pm.permutation, pm.position, st.k, st.nf, abs(w.score) as w from st join pm using (feature_id) join rp w on w.position = pm.position),
+ ps as (select *, w / sum(w) over (partition by set_id, permutation) as step, row_number() over (partition by set_id, permutation order by position) as j, sum(w) over (partition by set_id, permutation order by position) / sum(w) over (partition by set_id, permutation) as c from ph),
+ pr as (select set_id, permutation, max(c - (position - j) / (nf - k)) as h, min(c - step - (position - j) / (nf - k)) as l from ps group by 1, 2),
+ nu as (select set_id, case when abs(h) >= abs(l) - 1e-12 then h else l end as ns from pr),
+ pv as (select set_id, any_value(set_size) as set_size, any_value(es) as es, count(*) filter ((es >= 0) = (ns >= 0)) as same, count(*) filter (case when es >= 0 then ns >= 0 and ns >= es else ns < 0 and ns <= es end) as beyond, avg(abs(ns)) filter ((es >= 0) = (ns >= 0)) as sc from nu join obs using (set_id) group by 1)"""
+
+
+@query("gse_permute", "m_sets", sql=f""", {SIMPLE}, {RANKED}, {GSEA}, {PERMUTED} select set_id, set_size, case when es >= 0 then 'up' else 'down' end as direction, round(es, 6) as enrichment_score,
+ round(case when same > 0 and sc > 0 then es / sc else 0 end, 6) as normalized_enrichment_score, round((beyond + 1) / (same + 1), 6) as p_value from pv""")
 def _(v):
     ranks = E.rank_features(simple_significant(v))
-    out = E.gsea_permute(ranks, E.eligible_sets(v.sets, ranks, 1, 10**9), 100, 11)
-    return show(E.finish_enrichment(out, "normalized_enrichment_score"))
+    return show(E.gsea_permute(ranks, E.eligible_sets(v.sets, ranks, 1, 10**9), 60, 11))
 
 
 ORA = """u as (select count(*) as u, count(*) filter (significant) as f from des),
