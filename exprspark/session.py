@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +29,15 @@ def build_session(app: str = "exprspark", master: str | None = None, **conf: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder every executor can reach. The cluster names it in spark.checkpoint.dir; only when
-    that is unset (tests, one machine) a local one is made."""
+    """Folder every executor can reach. The cluster names it in spark.checkpoint.dir; where that is
+    unset, a local one is made if driver and executors are one process, else this is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -48,3 +53,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_exprspark_shipped", False):
+        return
+    package = Path(__file__).parent
+    target = os.path.join(tempfile.mkdtemp(prefix="ship-"), "exprspark.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(target)
+    context._exprspark_shipped = True
