@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exprspark.llm import common, neardup
+from exprspark.llm import common, decontam, mixing, neardup, pii, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,39 @@ r(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, e.b
 m as (select doc_id, min(c) as component_id from r group by 1)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from m left join n using (doc_id)
 """
+
+
+@query
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item, verbatim or with other numbers, names or units."""
+    return decontam.leaks(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@query
+def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document on a ring of 8 shards with bounded loads."""
+    return sharding.shard(common.documents(spark, sf_dir))
+
+
+@query
+def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target of every source and the words taken of every document."""
+    return mixing.mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held-out fold."""
+    return toxicity.toxicity(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, with the digest of the base kinds."""
+    return secrets.scan(common.documents(spark, sf_dir))
+
+
+@query
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, with the digest of the base kinds."""
+    return pii.redactions(common.documents(spark, sf_dir))
