@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exprspark.llm import common, decontam, mixing, neardup, pii, secrets, sharding, toxicity
+from exprspark.llm import common, decontam, mixing, neardup, pii, secrets, sharding, tiff, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,15 @@ def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with the digest of the base kinds."""
     return pii.redactions(common.documents(spark, sf_dir))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokens.token_counts(common.documents(spark, sf_dir))
+
+
+@query
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as TIFF and read back."""
+    return tiff.text_media(common.documents(spark, sf_dir))
