@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exprspark.llm import common, decontam, mixing, neardup, pii, secrets, sharding, tiff, tokens, toxicity
+from exprspark.llm import common, decontam, licenses, mixing, neardup, pii, secrets, sharding, tiff, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,39 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as TIFF and read back."""
     return tiff.text_media(common.documents(spark, sf_dir))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory."""
+    return licenses.scan(licenses.document_files(common.documents(spark, sf_dir))).drop("text")
+
+
+_TEMPLATES = ", ".join("('%s', '%s', '%s')" % (f"{i:03d}", name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+ORACLES["op6_license_scan"] = rf"""
+with f as (
+  select doc_id, source || '/' || case when b = 0 then '' when b <= 4 then lang || '/' else lang || '/' || cast(doc_id // 1000 as varchar) || '/' end
+    || case when contains(lower(split_part(text, chr(10), 1)), 'licen') then 'LICENSE.' || cast(doc_id as varchar) else cast(doc_id as varchar) || '.txt' end as path, text
+  from (select *, length(text) - length(replace(text, chr(10), '')) as b from documents)),
+tp(template, license, body) as (values {_TEMPLATES}),
+tt as (select template, license, term, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(body), '{licenses.TERM}')) as term from tp) group by 1, 2, 3),
+n as (select count(*) as total from f),
+d as (select term, count(*) as df from (select distinct path, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) as term from f) group by 1),
+i as (select distinct term, ln((total + 1.0) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from tt) left join d using (term), n),
+tw as (select template, license, term, tf * idf as weight from tt join i using (term)),
+tn as (select template, sqrt(sum(weight * weight)) as norm from tw group by 1),
+l as (select distinct path, unnest(string_split(text, chr(10))) as line from f),
+w as (select path, line, term, count(*) * coalesce(max(idf), (select ln(total + 1.0) + 1 from n)) as x
+  from (select path, line, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) as term from l) left join i using (term) group by 1, 2, 3),
+len as (select path, line, sqrt(sum(x * x)) as size from w group by 1, 2),
+s as (select path, license, max(round(dot / (norm * size), 6)) as score from (
+  select path, line, template, license, sum(x * weight) as dot from w join tw using (term) group by 1, 2, 3, 4) join tn using (template) join len using (path, line) group by 1, 2),
+own as (select path, arg_max(license, (score, -rn)) as license, max(score) as score from (select *, row_number() over (order by license) as rn from s where score >= {licenses.THRESHOLD}) group by 1),
+g as (select *, regexp_replace(path, '/?[^/]*$', '') as dir from f),
+ld as (select dir, arg_max(license, (score, -rn)) as dir_license from (
+  select dir, license, own.score, row_number() over (order by license) as rn from own join g using (path) where regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}')) group by 1),
+a as (select g.path, arg_max(ld.dir, length(ld.dir)) as dir, arg_max(dir_license, length(ld.dir)) as dir_license from g join ld on g.dir = ld.dir or starts_with(g.dir, ld.dir || '/') group by 1)
+select doc_id, f.path, coalesce(own.license, dir_license) as license, case when own.license is not null then 'header' when dir_license is not null then 'inherited' end as origin,
+  own.score, case when own.license is null then a.dir end as license_dir
+from f left join own using (path) left join a using (path)
+"""
