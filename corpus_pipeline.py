@@ -14,12 +14,14 @@ from exprspark.session import scratch_path
 
 #: The stages draw at random, train, and cut digests, which SQL does not express; tests hold them against brute force.
 ORACLE_SQL = None
+#: Names that begin like this are the stages' own; any other column passes through.
+KEY = "_corpus_key"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5."""
     weights = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, weights, docs.columns).where("score < 0.5").drop("score")
+    return toxicity.scored(docs, weights, docs.columns, "_corpus_score").where("_corpus_score < 0.5").drop("_corpus_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without any id keeps one of its rows. Blank texts stay, one row per id and text."""
     rows = neardup.near_duplicates(docs).where("kept").select("doc_id", "text_key", "root")
     chosen = rows.groupBy(F.coalesce(F.col("root"), F.xxhash64("doc_id", "text_key")).alias("group"), F.col("root").isNull().alias("blank")).agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    keys = chosen.select(F.xxhash64(F.coalesce(F.col("r.doc_id"), F.lit(-1)), F.col("r.text_key")).alias("_pick")).distinct()
-    own = docs.withColumn("_pick", F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), common.text_key()))
-    return own.join(keys, "_pick", "left_semi").dropDuplicates(["_pick"]).select(*docs.columns)
+    keys = chosen.select(F.xxhash64(F.coalesce(F.col("r.doc_id"), F.lit(-1)), F.col("r.text_key")).alias(KEY)).distinct()
+    own = docs.withColumn(KEY, F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), common.text_key()))
+    return own.join(keys, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     leaked = decontam.leaks(docs, common.table(spark, sf_dir, "benchmark")).select("text_key").distinct()
-    return docs.withColumn("text_key", common.text_key()).join(leaked, "text_key", "left_anti").select(*docs.columns)
+    return docs.withColumn(KEY, common.text_key()).join(leaked.withColumnRenamed("text_key", KEY), KEY, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def pick(source, key):
         return F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), key, F.coalesce(F.col(source), F.lit("")))
 
-    chosen = mixing.mix(docs).groupBy(pick("source", F.col("text_key")).alias("_pick")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    once = docs.withColumn("_pick", pick("source", common.text_key())).join(chosen, "_pick").dropDuplicates(["_pick"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    chosen = mixing.mix(docs).groupBy(pick("source", F.col("text_key")).alias(KEY)).agg(F.sum("copies").cast("int").alias("_corpus_copies")).where("_corpus_copies > 0")
+    once = docs.withColumn(KEY, pick("source", common.text_key())).join(chosen, KEY).dropDuplicates([KEY])
+    return once.withColumn("_corpus_copy", F.explode(F.sequence(F.lit(1), "_corpus_copies"))).select(*docs.columns)
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from exprspark.session import cut
 
 WINDOW = 8
 STRIDE = 4
-#: A window with fewer plain words than this is keyed by its values, not by its template.
+#: A window needs so many plain words to be keyed by its template; every window is keyed by its values too.
 PLAIN = 4
 COVERAGE = 0.6
 #: Benchmark windows up to which they are broadcast (24 bytes each); more are joined by a shuffle.
@@ -32,12 +32,12 @@ NUMBER, NAME, UNIT = "①", "②", "③"
 def canonical(text: Column) -> Column:
     """Template words joined by one space; a placeholder is its mark followed by its value.
 
-    A name is a capitalised word that follows another word of the same sentence; a unit is a listed
+    A name is a word with one leading capital that follows another word of the same sentence; a unit is a listed
     word after a number. Numbers keep decimal signs as underscores.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}{NAME}{UNIT}]", " ")
     t = F.regexp_replace(t, r"(?<=\p{Nd})[.,](?=\p{Nd})", "_")
-    t = F.regexp_replace(t, r"(?<=[^.!?\s]\s)(\p{Lu}[\p{L}\p{Nd}]*)", f"{NAME}$1")
+    t = F.regexp_replace(t, r"(?<=[^.!?\s]\s)(\p{Lu}\p{Ll}[\p{L}\p{Nd}]*)", f"{NAME}$1")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{Nd}_])(\p{Nd}[\p{Nd}_]*)(\p{L}{0,12})", f"{NUMBER}$1 $2")
     t = F.regexp_replace(F.lower(t), rf"({NUMBER}[\p{{Nd}}_]+)\s+({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}_])", f"$1 {UNIT}$2")
     return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{Nd}}_{NUMBER}{NAME}{UNIT}]+", " "))
@@ -52,6 +52,11 @@ def template(line: Column) -> Column:
     return F.regexp_replace(line, rf"([{NUMBER}{NAME}{UNIT}])[\p{{L}}\p{{Nd}}_]*", "$1")
 
 
+def values(line: Column) -> Column:
+    """The canonical line without the marks of its placeholders."""
+    return F.regexp_replace(line, f"[{NUMBER}{NAME}{UNIT}]", "")
+
+
 def _keys(source: str, stride: int, salt: int, width: int) -> str:
     """SQL: array of (pos, key) of the windows of an array column, `stride` apart."""
     return f"transform(if(size({source}) < {width}, array(), sequence(0, size({source}) - {width}, {stride})), i -> named_struct('pos', i, 'key', xxhash64({salt}, slice({source}, i + 1, {width}))))"
@@ -61,57 +66,57 @@ def _mark(word: str) -> str:
     return f"(left({word}, 1) in ('{NUMBER}', '{NAME}', '{UNIT}'))"
 
 
+def _arrays(line: Column) -> list[Column]:
+    return [words(line).alias("words"), words(template(line)).alias("tpl"), words(values(line)).alias("vals")]
+
+
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, windows): items (item_id, words, tpl, n) that have words; windows (key, item_id, item_pos, width, by_value).
+    """(items, windows): items (item, item_id, words, tpl, vals, n, width) that have words; windows (key, item, item_pos, width).
 
     An item shorter than a window is one window of its own length.
     """
     line = canonical(F.col("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), line.alias("line")).where("line <> ''").distinct()
-    items = items.select("item_id", words(F.col("line")).alias("words"), words(template(F.col("line"))).alias("tpl"))
-    items = cut(items.withColumn("item", F.xxhash64("words")).withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WINDOW))))
-    at = items.select("item", "item_id", "words", "tpl", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("item_pos"))
-    at = at.withColumn("own", F.expr("slice(tpl, item_pos + 1, width)")).withColumn("raw", F.expr("slice(words, item_pos + 1, width)"))
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), line.alias("line")).where("line <> ''").distinct().select("item_id", *_arrays(F.col("line")))
+    items = cut(items.withColumn("item", F.xxhash64("item_id", "words")).withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WINDOW))))
+    at = items.select("item", "tpl", "vals", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("item_pos"))
+    at = at.withColumn("own", F.expr("slice(tpl, item_pos + 1, width)"))
     plain = F.expr(f"size(filter(own, w -> not {_mark('w')}))")
-    by_value = plain < F.least(F.lit(PLAIN), F.col("width"))
-    key = F.when(by_value, F.xxhash64(F.lit(2), "raw")).otherwise(F.xxhash64(F.lit(1), "own"))
-    return items, cut(at.select(key.alias("key"), "item", "item_id", "item_pos", "width", by_value.alias("by_value")))
+    templated = F.when(plain >= F.least(F.lit(PLAIN), F.col("width")), F.xxhash64(F.lit(1), "own"))
+    by_value = F.xxhash64(F.lit(2), F.expr("slice(vals, item_pos + 1, width)"))
+    return items, cut(at.select(F.explode(F.array_compact(F.array(templated, by_value))).alias("key"), "item", "item_pos", "width"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, stride: int = STRIDE) -> DataFrame:
     """One row per distinct (doc_id, text) and benchmark item that it contains, perhaps with other numbers, names or units:
     doc_id, text_key, item_id, at (word where the item would start), matched, item_words, coverage, slots, same_values.
 
-    An item is contained if at one alignment at least `COVERAGE` of its template words are equal and the slot values
-    agree: equal item values stand for equal document values and different ones for different ones. Where fewer than
-    `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by an equal window of `WINDOW`
-    template words that starts at a multiple of `stride` in the document, so every common run of WINDOW + stride - 1
-    words is found; shorter items use their own length and stride 1. Null and empty texts contain nothing and are
-    contained in nothing. Repeated rows count once.
+    An item is contained if at one alignment at least `COVERAGE` of its words are equal, as templates or as values, and the
+    slots agree: equal item values stand for equal document values and different ones for different ones. Where fewer
+    than `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by an equal window of `WINDOW`
+    words that starts at a multiple of `stride` in the document, so every common run of WINDOW + stride - 1 words is
+    found; shorter items use their own length and stride 1. Null and empty texts contain nothing and are contained in
+    nothing. Repeated rows count once.
     """
     items, keys = benchmark_windows(benchmark)
-    shape = keys.groupBy("width").agg(F.bool_or("by_value").alias("raw"), F.bool_or(~F.col("by_value")).alias("tpl")).collect()  # at most WINDOW rows
+    widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # at most WINDOW rows
     shortest = items.where(F.col("n") >= WINDOW).agg(F.min("n")).first()[0] or WINDOW
     step = max(1, min(stride, shortest - WINDOW + 1))
-    sources = [(r["width"], name, salt) for r in shape for name, salt, wanted in (("tpl", 1, r["tpl"]), ("words", 2, r["raw"])) if wanted]
 
-    held = docs.select(common.text_key().alias("text_key"), canonical(F.col("text")).alias("line"))
-    held = held.select("text_key", words(F.col("line")).alias("words"), words(template(F.col("line"))).alias("tpl"))
-    every = F.expr("concat(" + ", ".join(_keys(name, step if width == WINDOW else 1, salt, width) for width, name, salt in sources) + ")") if sources else F.expr("array(named_struct('pos', 0, 'key', 0L))")
-    at = held.select("text_key", F.explode(every).alias("w")).select("text_key", F.col("w.pos").alias("pos"), F.col("w.key").alias("key"))
+    held = docs.select(common.text_key().alias("text_key"), canonical(F.col("text")).alias("line")).select("text_key", *_arrays(F.col("line")))
+    every = [_keys(name, step if width == WINDOW else 1, salt, width) for width in widths for name, salt in (("tpl", 1), ("vals", 2))]
+    at = held.select("text_key", F.explode(F.expr(f"concat({', '.join(every)})" if every else "array(named_struct('pos', 0, 'key', 0L))")).alias("w"))
     side = keys.select("key", "item", "item_pos")
     if keys.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    found = cut(at.join(side, "key").select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
+    found = cut(at.select("text_key", F.col("w.pos").alias("pos"), F.col("w.key").alias("key")).join(side, "key").select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_key().alias("text_key"), "text")
-    pairs = found.join(items.select("item", "item_id", F.col("words").alias("iw"), F.col("tpl").alias("it"), "n"), "item")
-    both = texts.join(pairs, "text_key").withColumn("line", canonical(F.col("text"))).withColumn("dw", words(F.col("line"))).withColumn("dt", words(template(F.col("line"))))
+    pairs = found.join(items.select("item", "item_id", F.col("words").alias("iw"), F.col("tpl").alias("it"), F.col("vals").alias("iv"), "n"), "item")
+    both = texts.join(pairs, "text_key").withColumn("line", canonical(F.col("text"))).select("doc_id", "text_key", "item_id", "at", "n", "iw", "it", "iv", words(template(F.col("line"))).alias("dt"), words(values(F.col("line"))).alias("dv"))
     both = both.select("doc_id", "text_key", "item_id", "at", "n", F.expr(
-        "filter(transform(sequence(0, n - 1), i -> named_struct('i', iw[i], 'd', get(dw, at + i), 'same', it[i] <=> get(dt, at + i))), p -> p.same)").alias("same"))
-    slots = F.expr(f"array_distinct(filter(transform(same, p -> named_struct('i', p.i, 'd', p.d)), p -> {_mark('p.i')}))")
-    judged = both.withColumn("pairs", slots).withColumn("matched", F.size("same")).withColumn("plain", F.expr(f"size(filter(same, p -> not {_mark('p.i')}))"))
-    judged = judged.withColumn("differ", F.expr("size(filter(same, p -> p.i <> p.d))"))
+        f"filter(transform(sequence(0, n - 1), i -> named_struct('i', iv[i], 'd', get(dv, at + i), 'typed', it[i] <=> get(dt, at + i), 'slot', {_mark('iw[i]')})), p -> p.typed or p.i <=> p.d)").alias("same"))
+    slots = F.expr("array_distinct(transform(filter(same, p -> p.slot and p.typed), p -> named_struct('i', p.i, 'd', p.d)))")
+    judged = both.withColumn("pairs", slots).withColumn("matched", F.size("same")).withColumn("plain", F.expr("size(filter(same, p -> not p.slot))")).withColumn("differ", F.expr("size(filter(same, p -> p.i <> p.d))"))
     consistent = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.i))) and size(pairs) = size(array_distinct(transform(pairs, p -> p.d)))")
     good = judged.withColumn("coverage", F.col("matched") / F.col("n")).where((F.col("coverage") >= COVERAGE) & consistent & ((F.col("plain") >= F.least(F.lit(PLAIN), F.col("n"))) | (F.col("differ") == 0)))
     best = F.max_by(F.struct("at", "matched", F.col("n").alias("item_words"), "coverage", F.size("pairs").alias("slots"), (F.col("differ") == 0).alias("same_values")),

@@ -105,8 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFr
     return rows.repartition(1).mapInArrow(_train, "feature bigint, weight double").toPandas()
 
 
-def scored(docs: DataFrame, weights: pd.DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns of docs and `score`. A null or empty text scores by the bias alone."""
+def scored(docs: DataFrame, weights: pd.DataFrame, columns: list[str], name: str = "score") -> DataFrame:
+    """The named columns of docs and the score. A null or empty text scores by the bias alone."""
     bias = float(weights.loc[weights["feature"] < 0, "weight"].sum())
     own = weights[weights["feature"] >= 0].sort_values("feature")
     model = docs.sparkSession.sparkContext.broadcast((own["feature"].to_numpy(np.uint32), own["weight"].to_numpy(np.float64)))
@@ -130,10 +130,10 @@ def scored(docs: DataFrame, weights: pd.DataFrame, columns: list[str]) -> DataFr
                 once = np.unique(np.concatenate(hits))
                 total = np.bincount(once // (len(known) + 1), weight[once % (len(known) + 1)] if len(known) else None, minlength=part.num_rows)
                 value = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(value, pa.float64())], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(value, pa.float64())], names=[*columns, name])
 
     held = docs.select(*columns, *([] if "text" in columns else ["text"]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name in columns), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name in columns), f"`{name}` double"])
     return held.mapInArrow(score, schema)
 
 
