@@ -80,7 +80,7 @@ def audit_classifier(meta: DataFrame, outcome: str, folds: int, group: str | Non
 
 
 # Column names that usually hold the experimental unit.
-UNIT_NAMES = ["subject", "subject_id", "patient", "patient_id", "donor", "donor_id", "individual", "individual_id", "biological_sample", "biological_sample_id"]
+UNIT_NAMES = ["donor", "donor_id", "subject", "subject_id", "patient", "patient_id", "participant", "participant_id", "individual", "individual_id"]
 
 
 def hidden_units(profile: DataFrame, samples: int) -> DataFrame:

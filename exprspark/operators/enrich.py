@@ -43,7 +43,8 @@ def running_extremes(hits: DataFrame, by: list[str]) -> DataFrame:
     flat = F.col("_w") == 0
     rows = rows.withColumn("_one", F.lit(1)).withColumn("_step", F.when(flat, 1.0 / F.col("set_size")).otherwise(F.col("weight") / F.col("_w")))
     placed = running(rows, by, ["position"], ["_step", "_one"])
-    misses = (F.col("position") - 1 - F.col("_one_before")) / (F.col("feature_count") - F.col("set_size"))
+    # a set of all features has no misses
+    misses = F.coalesce(F.try_divide(F.col("position") - 1 - F.col("_one_before"), F.col("feature_count") - F.col("set_size")), F.lit(0.0))
     low = F.col("_step_before") - misses
     return placed.withColumn("low", low).withColumn("high", low + F.col("_step"))
 

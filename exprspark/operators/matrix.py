@@ -27,14 +27,15 @@ def shape_of(cells: DataFrame) -> tuple[int, int]:
 
 def feature_moments(cells: DataFrame, samples: int | None = None) -> DataFrame:
     """Mean, sample and population variance of each feature over all samples. The second pass runs
-    over deviations from the present-cell mean, so large means do not eat the variance."""
+    over deviations from the present-cell mean, so large means do not eat the variance. One sample has no
+    sample variance (null)."""
     n = F.lit(float(samples if samples is not None else shape_of(cells)[1]))
     per = cells.groupBy("feature_id").agg(
         F.count("value").alias("_k"), F.avg("value").alias("_m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("_v"))
     mean = F.col("_k") * F.col("_m") / n
     # around the overall mean: spread of the present cells plus the zeros' distance to it
     squares = F.col("_k") * F.col("_v") + F.col("_k") * (n - F.col("_k")) / n * F.col("_m") * F.col("_m")
-    return per.select("feature_id", mean.alias("mean"), (squares / (n - 1)).alias("var_samp"), (squares / n).alias("var_pop"))
+    return per.select("feature_id", mean.alias("mean"), F.try_divide(squares, n - 1).alias("var_samp"), F.try_divide(squares, n).alias("var_pop"))
 
 
 def top_variable(cells: DataFrame, n: int, samples: int | None = None, keep_constant: bool = False) -> DataFrame:

@@ -39,13 +39,13 @@ def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def ranking_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ROC area by rank sums and average precision, in one ordered pass."""
+    """ROC area by rank sums and average precision, in one ordered pass. Where a class is absent, both are null."""
     placed = _with_totals(running(counts, by, ["p"], ["pos", "neg"]), by)
     above_pos = F.col("all_pos") - F.col("pos_before")
     above = F.col("all_pos") + F.col("all_neg") - F.col("pos_before") - F.col("neg_before")
     return placed.groupBy(*by).agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (F.max("all_pos") * F.max("all_neg"))).alias("roc_auc"),
-        F.sum(F.col("pos") / F.col("all_pos") * above_pos / above).alias("pr_auc"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), F.max("all_pos") * F.max("all_neg")).alias("roc_auc"),
+        F.sum(F.try_divide(F.try_divide("pos", "all_pos") * above_pos, above)).alias("pr_auc"))
 
 
 def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +57,7 @@ def confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pred.groupBy(*by).agg(
         total(y & yes).alias("true_positive"), total(~y & yes).alias("false_positive"),
         total(~y & ~yes).alias("true_negative"), total(y & ~yes).alias("false_negative"),
-        (F.sum(w * (F.col("p") - F.col("y")) ** 2) / F.sum(w)).alias("brier_score"))
+        F.try_divide(F.sum(w * (F.col("p") - F.col("y")) ** 2), F.sum(w)).alias("brier_score"))
 
 
 def binary_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -99,8 +99,8 @@ def roc_points(pred: DataFrame) -> DataFrame:
     following = numbered.select((F.col("rn") - 1).alias("rn"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
     bend = F.col("next_pos").isNull() | (F.col("rn") == 1) | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     points = numbered.join(following, "rn", "left").where(bend).select(
-        ((F.col("all_neg") - F.col("neg_before")) / F.col("all_neg")).alias("false_positive_rate"),
-        ((F.col("all_pos") - F.col("pos_before")) / F.col("all_pos")).alias("true_positive_rate"), F.col("p").alias("threshold"))
+        F.try_divide(F.col("all_neg") - F.col("neg_before"), "all_neg").alias("false_positive_rate"),
+        F.try_divide(F.col("all_pos") - F.col("pos_before"), "all_pos").alias("true_positive_rate"), F.col("p").alias("threshold"))
     origin = _totals(counts, []).select(F.lit(0.0).alias("false_positive_rate"), F.lit(0.0).alias("true_positive_rate"), F.lit(None).cast("double").alias("threshold"))
     return points.unionByName(origin)
 
@@ -110,7 +110,7 @@ def precision_recall_points(pred: DataFrame) -> DataFrame:
     placed = _with_totals(running(counts, [], ["p"], ["pos", "neg"]), [])
     above = F.col("all_pos") - F.col("pos_before")
     points = placed.select(
-        (above / F.col("all_pos")).alias("recall"), (above / (above + F.col("all_neg") - F.col("neg_before"))).alias("precision"), F.col("p").alias("threshold"))
+        F.try_divide(above, "all_pos").alias("recall"), F.try_divide(above, above + F.col("all_neg") - F.col("neg_before")).alias("precision"), F.col("p").alias("threshold"))
     end = _totals(counts, []).select(F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold"))
     return points.unionByName(end)
 
@@ -301,9 +301,9 @@ def group_effect(scores: DataFrame, by: Sequence[str], numerator: str) -> DataFr
 
     n1, n0 = F.count_if(up), F.count_if(~up)
     effect = of(up, F.avg) - of(~up, F.avg)
-    pooled = ((n1 - 1) * of(up, F.var_samp) + (n0 - 1) * of(~up, F.var_samp)) / (n1 + n0 - 2)
+    pooled = F.try_divide((n1 - 1) * of(up, F.var_samp) + (n0 - 1) * of(~up, F.var_samp), n1 + n0 - 2)
     return scores.groupBy(*by).agg(
-        n1.alias("numerator_count"), n0.alias("denominator_count"), effect.alias("effect"), (effect / F.sqrt(pooled)).alias("standardized_effect"),
+        n1.alias("numerator_count"), n0.alias("denominator_count"), effect.alias("effect"), F.try_divide(effect, F.sqrt(pooled)).alias("standardized_effect"),
         F.min("score").alias("score_minimum"), F.max("score").alias("score_maximum"))
 
 
@@ -332,5 +332,5 @@ def cohort_concordance(scores: DataFrame, numerator: str, minimum_auc: float) ->
     width = F.col("score_maximum") - F.col("score_minimum")
     verdict = per.agg(
         F.bool_and(F.col("direction") == "positive").alias("direction_concordant"), F.bool_and(F.col("auc") >= minimum_auc).alias("all_meet_auc"),
-        (F.max(width) / F.min(width) >= 2.0).alias("raw_scales_distinct"), F.bool_and("passed").alias("all_passed"))
+        (F.try_divide(F.max(width), F.min(width)) >= 2.0).alias("raw_scales_distinct"), F.bool_and("passed").alias("all_passed"))
     return per, verdict.withColumn("passed", F.col("all_passed") & F.col("raw_scales_distinct"))

@@ -92,12 +92,13 @@ def score_ssgsea(cells: DataFrame, members: DataFrame, alpha: float = 0.25, norm
     weight = F.pow(F.abs(F.col("rank").cast("double")), F.lit(alpha))
     per = hits.groupBy("set_id", "sample_id").agg(
         F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_k"), F.sum(weight * after).alias("_wa"), F.sum(weight).alias("_w"), F.sum(after).alias("_a"))
-    area = F.col("_wa") / F.col("_w") - (F.col("_n") * (F.col("_n") + 1) / 2 - F.col("_a")) / (F.col("_n") - F.col("_k"))
+    # a set of all features has no others to compare with, members of no weight have no step: null
+    area = F.try_divide("_wa", "_w") - F.try_divide(F.col("_n") * (F.col("_n") + 1) / 2 - F.col("_a"), F.col("_n") - F.col("_k"))
     scored = per.select("set_id", "sample_id", area.alias("score"))
     if not normalize:
         return scored
     return one_row(scored, scored.agg((F.max("score") - F.min("score")).alias("_range"))).select(
-        "set_id", "sample_id", (F.col("score") / F.col("_range")).alias("score"))
+        "set_id", "sample_id", F.try_divide("score", "_range").alias("score"))
 
 
 def feature_cdf(cells: DataFrame, kernel: str = "gaussian") -> DataFrame:

@@ -186,15 +186,23 @@ def robustness_by_type(pairs: DataFrame, challenge: str = "challenge_type") -> D
         F.avg((~F.col("call_agreement")).cast("double")).alias("call_change_rate"), F.avg(F.col("qc_failure").cast("double")).alias("qc_failure_rate"))
 
 
-# The endpoint each study metric is defined on.
+# The endpoint each metric of a study is defined on.
 METRIC_ENDPOINTS = {
-    "icc": "classifier_score", "repeatability_sd": "classifier_score", "reproducibility_sd": "classifier_score",
-    "categorical_agreement": "predicted_class", "paired_bias": "classifier_score", "discordance_rate": "predicted_class",
-    "tost_equivalence": "classifier_score", "mean_challenge_effect": "classifier_score", "call_change_rate": "predicted_class",
-    "qc_failure_rate": "qc_failure",
+    "precision": {"icc": "classifier_score", "categorical_agreement": "predicted_class", "repeatability_sd": "classifier_score", "reproducibility_sd": "classifier_score"},
+    "bridging": {"paired_bias": "classifier_score", "categorical_agreement": "predicted_class", "discordance_rate": "predicted_class", "tost_equivalence": "classifier_score"},
+    "robustness": {"mean_challenge_effect": "classifier_score", "call_change_rate": "predicted_class", "qc_failure_rate": "qc_failure"},
 }
 
 
+def study_metrics(wide: DataFrame) -> DataFrame:
+    """(metric, observed) from one row of study metrics; an equivalence rule counts as 1 or 0."""
+    if "equivalent" in wide.columns:
+        wide = wide.withColumn("tost_equivalence", F.col("equivalent").cast("double"))
+    names = [m for kind in METRIC_ENDPOINTS.values() for m in kind]
+    held = [c for c in dict.fromkeys([*names, "profile_correlation"]) if c in wide.columns]
+    return wide.select(*[F.col(c).cast("double").alias(c) for c in held]).unpivot([], held, "metric", "observed")
+
+
 def criterion_status(observed: Column, operator: Column, low: Column, high: Column) -> Column:
     """PASS, FAIL, INDETERMINATE without an observation, NOT_APPLICABLE for an unknown operator."""
     passed = (
@@ -205,12 +213,16 @@ def criterion_status(observed: Column, operator: Column, low: Column, high: Colu
     return (F.when(absent, "INDETERMINATE").when(passed.isNull(), "NOT_APPLICABLE").when(passed, "PASS").otherwise("FAIL"))
 
 
-def evaluate_criteria(metrics: DataFrame, criteria: DataFrame) -> DataFrame:
-    """metrics: (metric, observed). criteria: (criterion_id, metric, endpoint, operator, threshold
-    array of one or two numbers). Correlation is descriptive and never passes."""
-    endpoints = F.create_map(*[F.lit(x) for kv in METRIC_ENDPOINTS.items() for x in kv])
+def evaluate_criteria(metrics: DataFrame, criteria: DataFrame, study: str) -> DataFrame:
+    """metrics: (metric, observed) of a precision, bridging or robustness study. criteria: (criterion_id, metric,
+    endpoint, operator, threshold array of one or two numbers). A metric that the study does not define on the endpoint
+    is not applicable, and so is a correlation, which is descriptive. Only the precision study knows `between`, and only
+    there an applicable metric without a value is indeterminate; elsewhere it is not applicable."""
+    endpoints = F.create_map(*[F.lit(x) for kv in METRIC_ENDPOINTS[study].items() for x in kv])
     joined = criteria.join(metrics, "metric", "left")
     known = F.coalesce(endpoints[F.col("metric")] == F.col("endpoint"), F.lit(False))
+    if study != "precision":
+        known = known & F.col("observed").isNotNull() & (F.col("operator") != "between")
     status = F.when(~known, "NOT_APPLICABLE").otherwise(
         criterion_status(F.col("observed"), F.col("operator"), F.get("threshold", F.lit(0)), F.get("threshold", F.lit(1))))
     return joined.select("criterion_id", "metric", "operator", "observed", status.alias("status"))

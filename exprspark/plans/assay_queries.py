@@ -695,20 +695,21 @@ def _(v):
 
 
 CRITERIA = [("a", "paired_bias", "classifier_score", "absolute_lte", [0.05]), ("b", "categorical_agreement", "predicted_class", "gte", [0.9]), ("c", "paired_bias", "classifier_score", "between", [-1.0, 1.0]),
-            ("d", "profile_correlation", "classifier_score", "gt", [0.0]), ("e", "icc", "classifier_score", "gte", [0.5]), ("f", "discordance_rate", "predicted_class", "odd", [0.5]), ("g", "discordance_rate", "predicted_class", "lt", [0.99])]
+            ("d", "profile_correlation", "classifier_score", "gt", [0.0]), ("e", "icc", "classifier_score", "gte", [0.5]), ("f", "discordance_rate", "predicted_class", "odd", [0.5]), ("g", "discordance_rate", "predicted_class", "lt", [0.99]),
+            ("h", "tost_equivalence", "classifier_score", "gte", [1.0]), ("i", "qc_failure_rate", "qc_failure", "lte", [0.5])]
 
 
 def study_results(v) -> DataFrame:
-    wide = U.bridge_metrics(bridge(v), 0.1).select("paired_bias", "categorical_agreement", "discordance_rate", "profile_correlation")
-    metrics = wide.unpivot([], ["paired_bias", "categorical_agreement", "discordance_rate", "profile_correlation"], "metric", "observed")
+    metrics = U.study_metrics(U.bridge_metrics(bridge(v), 0.1))
     criteria = v.spark.createDataFrame(CRITERIA, "criterion_id string, metric string, endpoint string, operator string, threshold array<double>")
-    return U.evaluate_criteria(metrics, criteria)
+    return U.evaluate_criteria(metrics, criteria, "bridging")
 
 
-JUDGE = f""", {BRIDGE}, s as (select avg(difference) as b, avg(call_agreement::int) as ag, corr(reference_score, comparator_score) as r from br),
+JUDGE = f""", {BRIDGE}, s as (select avg(difference) as b, avg(call_agreement::int) as ag, corr(reference_score, comparator_score) as r, {CI.format(c='difference')} as h from br),
  cr as (select 'a' as criterion_id, 'paired_bias' as metric, 'absolute_lte' as operator, b as observed, case when abs(b) <= 0.05 then 'PASS' else 'FAIL' end as status from s union all select 'b', 'categorical_agreement', 'gte', ag, case when ag >= 0.9 then 'PASS' else 'FAIL' end from s
- union all select 'c', 'paired_bias', 'between', b, case when b between -1 and 1 then 'PASS' else 'FAIL' end from s union all select 'd', 'profile_correlation', 'gt', r, 'NOT_APPLICABLE' from s union all select 'e', 'icc', 'gte', null, 'INDETERMINATE' from s
- union all select 'f', 'discordance_rate', 'odd', 1 - ag, 'NOT_APPLICABLE' from s union all select 'g', 'discordance_rate', 'lt', 1 - ag, case when 1 - ag < 0.99 then 'PASS' else 'FAIL' end from s)"""
+ union all select 'c', 'paired_bias', 'between', b, 'NOT_APPLICABLE' from s union all select 'd', 'profile_correlation', 'gt', r, 'NOT_APPLICABLE' from s union all select 'e', 'icc', 'gte', null, 'NOT_APPLICABLE' from s
+ union all select 'f', 'discordance_rate', 'odd', 1 - ag, 'NOT_APPLICABLE' from s union all select 'g', 'discordance_rate', 'lt', 1 - ag, case when 1 - ag < 0.99 then 'PASS' else 'FAIL' end from s
+ union all select 'h', 'tost_equivalence', 'gte', (b - h > -0.1 and b + h < 0.1)::int::double, case when b - h > -0.1 and b + h < 0.1 then 'PASS' else 'FAIL' end from s union all select 'i', 'qc_failure_rate', 'lte', null, 'NOT_APPLICABLE' from s)"""
 
 
 @query("stu_criteria", "a_pairs", sql=f"{JUDGE} select criterion_id, metric, operator, round(observed, 6) as observed, status from cr")

@@ -614,7 +614,7 @@ def _(v):
 def _(v):
     root = scratch_path(v.spark, "audit")
     v.table("documents").select(F.col("text").alias("value"), "lang").repartition("lang").write.partitionBy("lang").text(root)
-    manifest = B.file_digests(v.spark, root, "*.txt").drop("content")
+    manifest = B.file_digests(v.spark, root, "*.txt")
     drifted = manifest.withColumn("size_bytes", F.when(F.col("path").contains("lang=en"), F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))).withColumn(
         "path", F.when(F.col("path").contains("lang=de"), F.concat("path", F.lit(".gone"))).otherwise(F.col("path")))
     return B.audit_files(drifted, root, "*.txt").groupBy("status").count()

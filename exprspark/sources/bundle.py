@@ -110,8 +110,8 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", columns: list[s
         raise ValueError(f"Unknown result format '{fmt}'.")
 
 
-def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path below root, size_bytes, sha256) of every file under a folder."""
+def file_parts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path below root, size_bytes, sha256, content) of every file under a folder. The part files of a table folder all have its path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     marker = "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
     # a table folder that Spark wrote has random part names: name it by its folder
@@ -122,9 +122,21 @@ def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     )
 
 
+def _combined(parts: DataFrame, digest: str) -> DataFrame:
+    """One row per path: total size, and the digest of the only part, or of all parts' digests in order. Part names are random, so
+    parts count as a set; a folder has one row per part, each of 64 characters."""
+    every = F.array_sort(F.collect_list(digest))
+    return parts.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.when(F.count(F.lit(1)) == 1, F.max(digest)).otherwise(F.sha2(F.array_join(every, ""), 256)).alias(digest))
+
+
+def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path below root, size_bytes, sha256) of every file or table folder under a folder."""
+    return _combined(file_parts(spark, root, pattern).drop("content"), "sha256")
+
+
 def audit_files(manifest: DataFrame, root: str, pattern: str = "*") -> DataFrame:
     """Declared (path, size_bytes, sha256) against what is on storage."""
-    seen = file_digests(manifest.sparkSession, root, pattern).drop("content").alias("s")
+    seen = file_digests(manifest.sparkSession, root, pattern).alias("s")
     joined = manifest.alias("m").join(seen, F.col("m.path") == F.col("s.path"), "left")
     status = (
         F.when(F.col("s.path").isNull(), "MISSING")
@@ -146,9 +158,10 @@ def compare_results(contract: DataFrame, left_root: str, right_root: str) -> Dat
     spark = contract.sparkSession
 
     def digest(root: str, name: str) -> DataFrame:
-        files = file_digests(spark, root).join(contract, "path")
+        files = file_parts(spark, root).join(contract, "path")
         canonical = F.sha2(_canonical(F.col("content").cast("string")), 256)
-        return files.select("path", F.when(F.col("comparison") == "canonical_json", canonical).otherwise(F.col("sha256")).alias(name))
+        own = files.select("path", "size_bytes", F.when(F.col("comparison") == "canonical_json", canonical).otherwise(F.col("sha256")).alias(name))
+        return _combined(own, name).drop("size_bytes")
 
     both = contract.join(digest(left_root, "left_sha256"), "path", "left").join(digest(right_root, "right_sha256"), "path", "left")
     status = (

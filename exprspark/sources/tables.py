@@ -15,10 +15,10 @@ class SourceError(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, text) of one text file, gzip by suffix. Every file block numbers its own
-    lines; block totals (one row per block) give the offsets, so large files stay splittable."""
+    """(line_number, text) of a text file, gzip by suffix, or of the files of a folder one after the other by path. Every
+    file block numbers its own lines; block totals (one row per block) give the offsets, so large files stay splittable."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("text"),
     )
@@ -26,9 +26,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     numbered = lines.join(offsets, "block").select(
-        (F.col("offset") + F.col("row") - F.col("first") + 1).alias("line_number"), "text"
+        (F.col("offset") + F.col("row") - F.col("first") + 1).alias("line_number"), "text",
+        ((F.col("block.start") == 0) & (F.col("row") == F.col("first"))).alias("opening"),
     )
-    head = F.when(F.col("line_number") == 1, F.regexp_replace("text", f"^{BOM}", "")).otherwise(F.col("text"))
+    head = F.when(F.col("opening"), F.regexp_replace("text", f"^{BOM}", "")).otherwise(F.col("text"))
     return numbered.select("line_number", head.alias("text"))
 
 
