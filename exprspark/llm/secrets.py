@@ -69,63 +69,47 @@ def _of(texts: frozenset[str]) -> Query:
     return _or([frozenset([frozenset(t[i : i + 3] for i in range(len(t) - 2))]) for t in texts])
 
 
-def _walk(items) -> tuple[frozenset[str] | None, Query]:
-    """(the strings a part matches, lower-cased, where few; else None, a query every match fulfils)."""
-    exact: frozenset[str] | None = frozenset([""])
-    query = ANY
+def _part(code, value) -> tuple[frozenset[str] | None, Query]:
+    """(all strings a part matches, lower-cased, where they are few; else None, and what every match fulfils)."""
+    if code is op.LITERAL:
+        return frozenset([chr(value).lower()]), ANY
+    if code is op.IN and all(c in (op.LITERAL, op.RANGE) for c, _ in value):
+        ranges = [(v, v) if c is op.LITERAL else v for c, v in value]
+        few = sum(high - low + 1 for low, high in ranges) <= 4
+        return frozenset(chr(x).lower() for low, high in ranges for x in range(low, high + 1)) if few else None, ANY
+    if code is op.SUBPATTERN:
+        return _sequence(value[-1])
+    if code is op.BRANCH:
+        parts = [_sequence(p) for p in value[1]]
+        if all(t is not None for t, _ in parts):
+            return frozenset().union(*(t for t, _ in parts)), ANY
+        return None, _or([q if t is None else _of(t) for t, q in parts])
+    if code in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
+        low, high, part = value
+        texts, asks = _sequence(part)
+        if high == 1 and texts is not None:
+            return texts | ({""} if low == 0 else set()), ANY
+        return None, ANY if low == 0 else asks if texts is None else _of(texts)
+    return (frozenset([""]), ANY) if code in (op.AT, op.ASSERT, op.ASSERT_NOT) else (None, ANY)
+
+
+def _sequence(items) -> tuple[frozenset[str] | None, Query]:
+    """The same for parts in a row: runs of enumerated parts are multiplied out, and a run that ends asks for its trigrams."""
+    run, query, whole = frozenset([""]), ANY, True
     for code, value in items:
-        own, asks = None, ANY
-        if code is op.LITERAL:
-            own = frozenset([chr(value).lower()])
-        elif code is op.IN and all(c in (op.LITERAL, op.RANGE) for c, _ in value):
-            chars = {chr(x).lower() for c, v in value for x in ([v] if c is op.LITERAL else range(v[0], v[1] + 1) if v[1] - v[0] < 16 else range(17 * ALTERNATIVES))}
-            own = frozenset(chars) if len(chars) <= 4 else None
-        elif code is op.SUBPATTERN:
-            own, asks = _walk(value[-1])
-        elif code is op.BRANCH:
-            parts = [_walk(p) for p in value[1]]
-            asks = _or([q if t is None else _and(q, _of(t)) for t, q in parts])
-            own = frozenset().union(*(t for t, _ in parts)) if all(t is not None for t, _ in parts) else None
-        elif code in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
-            low, high, part = value
-            text, inner = _walk(part)
-            if low == 0 and high == 1 and text is not None:
-                own = text | {""}
-            elif low == high == 1:
-                own, asks = text, inner
-            elif low > 0:
-                asks = inner if text is None else _and(inner, _of(text))
-        elif code in (op.AT, op.ASSERT, op.ASSERT_NOT):
-            own = frozenset([""])
-        if own is not None and exact is not None and len(own) * len(exact) <= ALTERNATIVES:
-            exact = frozenset(a + b for a in exact for b in own)
-            query = _and(query, asks) if asks != ANY else query
+        texts, asks = _part(code, value)
+        if texts is not None and len(run) * len(texts) <= ALTERNATIVES:
+            run = frozenset(a + b for a in run for b in texts)
             continue
-        # the run of known strings ends here: what it holds so far is asked for
-        query = _and(_and(query, _of(exact)) if exact is not None else query, asks)
-        exact = own if own is not None else frozenset([""])
-    return (exact, query) if query == ANY and all(code in (op.LITERAL, op.IN, op.SUBPATTERN, op.BRANCH, op.AT, op.MAX_REPEAT) for code, _ in items) and _known(items) else (None, _and(query, _of(exact)))
-
-
-def _known(items) -> bool:
-    """Whether a part's strings were all enumerated, so that a caller may extend them."""
-    for code, value in items:
-        if code is op.IN and (any(c not in (op.LITERAL, op.RANGE) for c, _ in value) or sum(1 if c is op.LITERAL else v[1] - v[0] + 1 for c, v in value) > 4):
-            return False
-        if code is op.MAX_REPEAT and not (value[1] == 1 and _known(value[2])):
-            return False
-        if code is op.SUBPATTERN and not _known(value[-1]):
-            return False
-        if code is op.BRANCH and not all(_known(p) for p in value[1]):
-            return False
-        if code in (op.ANY, op.NOT_LITERAL, op.CATEGORY):
-            return False
-    return True
+        query, whole = _and(_and(query, _of(run)), asks), False
+        run = texts if texts is not None else frozenset([""])
+    return (run, ANY) if whole else (None, _and(query, _of(run)))
 
 
 def trigram_query(pattern: str) -> Query:
     """Conjunctions of lower-case trigrams, one of which occurs in every text the pattern matches; `ANY` if none is mandatory."""
-    _, query = _walk(parser.parse(pattern))
+    texts, query = _sequence(parser.parse(pattern))
+    query = query if texts is None else _of(texts)
     # a conjunction that contains another one adds nothing
     return frozenset(q for q in query if not any(other < q for other in query))
 
