@@ -150,9 +150,9 @@ def pca(cells: DataFrame, k: int, scale: bool = True, driver_limit: int = GRAM_O
     """Principal components of samples over centred (scaled) features. Each component's sign makes
     its largest loading positive.
 
-    Up to `driver_limit` samples the products between samples, a matrix of at most that size
-    squared, are diagonalised directly. Beyond it, block iteration keeps everything distributed
-    and only matrices of k columns reach the driver."""
+    The products of the smaller side, features or samples, are summed in one pass and diagonalised
+    directly while that side has at most `driver_limit` members. Beyond it, block iteration keeps
+    everything distributed and only matrices of k columns reach the driver."""
     features, samples = shape_of(cells)
     if samples < 2 or features < 2:
         raise ValueError("Components need at least two samples and two features.")
@@ -162,7 +162,7 @@ def pca(cells: DataFrame, k: int, scale: bool = True, driver_limit: int = GRAM_O
                                (F.col("_mean") / F.col("_sd")).alias("shift")))
     total = side.agg(F.sum(F.col("var_samp") / (F.col("_sd") * F.col("_sd")))).first()[0] or 0.0
     k = min(k, samples, features)
-    solve = _eigen_small if samples <= driver_limit else _eigen_blocks
+    solve = _eigen_blocks if min(features, samples) > driver_limit else _eigen_features if features < samples else _eigen_small
     vectors, values = solve(scaled, side, samples, k)
     return _components(scaled, vectors, values, total, samples, k)
 
@@ -187,6 +187,29 @@ def _eigen_small(scaled: DataFrame, side: DataFrame, samples: int, k: int):
     return spark.createDataFrame(rows, "sample_id string, u array<double>"), values
 
 
+def _eigen_features(scaled: DataFrame, side: DataFrame, samples: int, k: int):
+    """The same from the products between features: sample vectors are the data times the feature vectors."""
+    shifts = side.select("feature_id", (F.col("_mean") / F.col("_sd")).alias("shift")).orderBy("feature_id").toPandas()  # features <= driver_limit
+    names, shift = shifts["feature_id"].tolist(), shifts["shift"].to_numpy(float)
+    position = {name: i for i, name in enumerate(names)}
+    pairs = gram(scaled.select(F.col("sample_id").alias("feature_id"), F.col("feature_id").alias("sample_id"), "value")).toPandas()
+    g = np.zeros((len(names), len(names)))
+    a, b = pairs["sample_a"].map(position).to_numpy(), pairs["sample_b"].map(position).to_numpy()
+    g[a, b] = pairs["product"]
+    g[b, a] = pairs["product"]
+    g = g - samples * np.outer(shift, shift)
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    order = np.argsort(-values)[:k]
+    values, vectors = np.maximum(values[order], 0.0), vectors[:, order]
+    length = np.sqrt(values)
+    vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 1e-12 * max(length.max(), 1e-300))
+    base = shift @ vectors
+    table = scaled.sparkSession.createDataFrame([(n, [float(x) for x in vectors[i]]) for i, n in enumerate(names)], "feature_id string, w array<double>")
+    sums = [(F.sum(F.col("value") * F.col("w")[i]) - F.lit(float(base[i]))).alias(f"_{i}") for i in range(k)]
+    projected = spread_join(scaled, table, ["feature_id"], "sample_id").groupBy("sample_id").agg(*sums)
+    return cut(projected.select("sample_id", F.array(*[F.col(f"_{i}") for i in range(k)]).alias("u"))), values
+
+
 def _columns(name: str, size: int) -> list:
     return [F.col(name)[i] for i in range(size)]
 
