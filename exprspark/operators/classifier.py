@@ -11,8 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ BOOST_CANDIDATES = [{"maxDepth": 3}, {"maxDepth": 4}]
 
 
 CELLS_PER_PARTITION = 500_000
+# Iterations after which a fit counts as failed, and rounds of boosting.
+MAX_ITERATIONS, BOOSTING_ROUNDS = 20_000, 100
 
 
 @dataclass
@@ -142,11 +143,6 @@ def check_oof(predictions: DataFrame, labels: DataFrame, repeats: int) -> DataFr
 # ---- one fit
 
 
-@F.udf(VectorUDT())
-def _vector(entries, size):
-    return Vectors.sparse(size, [(e["i"], e["v"]) for e in entries])
-
-
 @dataclass
 class Prepared:
     """Scaled vectors of the training rows and of the rows to score, and how they were scaled."""
@@ -175,10 +171,10 @@ def prepare_fold(cells: DataFrame, train: DataFrame, test: DataFrame, features:
         scaled = cells.join(rows.select("sample_id"), "sample_id", "left_semi").join(selected, "feature_id")
         entry = F.struct("i", (F.col("value") / F.col("sd")).alias("v"))
         # at most `features` entries per sample
-        per = scaled.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        per = scaled.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(entry)).alias("e"))
         full = rows.join(per, "sample_id", "left")
-        empty = F.array().cast("array<struct<i:int,v:double>>")
-        return full.select(*rows.columns, _vector(F.coalesce("e", empty), F.lit(size)).alias("features")).coalesce(partitions)
+        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("e", i), F.lit(0.0))) if size else F.array().cast("array<double>")
+        return full.select(*rows.columns, array_to_vector(dense).alias("features")).repartition(partitions)
 
     return Prepared(vectors(_with_weights(train, balanced)).persist(), vectors(test).persist(), selected, samples)
 
@@ -195,8 +191,11 @@ def fit_enet(prepared: Prepared, c: float, ratio: float, family: str = "binomial
     """Elastic-net logistic fit with the library objective C * loss + penalty: the same optimum as a
     mean loss with penalty 1 / (C n)."""
     model = LogisticRegression(
-        regParam=1.0 / (c * prepared.samples), elasticNetParam=ratio, standardization=False, weightCol="weight", family=family, tol=1e-6, maxIter=300)
-    return model.fit(prepared.train)
+        regParam=1.0 / (c * prepared.samples), elasticNetParam=ratio, standardization=False, weightCol="weight", family=family, tol=1e-6, maxIter=MAX_ITERATIONS)
+    fitted = model.fit(prepared.train)
+    if fitted.summary.totalIterations >= MAX_ITERATIONS:
+        raise RuntimeError(f"The elastic net did not converge in {MAX_ITERATIONS} iterations.")
+    return fitted
 
 
 def _decision(model, rows: DataFrame) -> DataFrame:
@@ -392,7 +391,7 @@ def learning_curve(cells: DataFrame, labels: DataFrame, validation: Validation,
 def _tree(algorithm: str, parameters: dict, seed: int):
     if algorithm == "random_forest":
         return RandomForestClassifier(numTrees=100, seed=seed, weightCol="weight", **parameters)
-    return GBTClassifier(maxIter=20, seed=seed, weightCol="weight", minInstancesPerNode=5, **parameters)
+    return GBTClassifier(maxIter=BOOSTING_ROUNDS, seed=seed, weightCol="weight", minInstancesPerNode=5, **parameters)
 
 
 def compare_models(cells: DataFrame, labels: DataFrame, config: Config, grids: dict[str, list[dict]] | None = None) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprspark.functions.ordering import average_ranks, counted_join, medians, one_row, quantiles, spread_join, tie_quantiles
+from exprspark.functions.ordering import ROWS_PER_TASK, average_ranks, counted_join, medians, one_row, quantiles, spread_join, tie_quantiles
 from exprspark.functions.text import rounded
 from exprspark.operators.mapping import median_absolute_deviation
-from exprspark.operators.matrix import pca, sample_correlation
+from exprspark.operators.matrix import pca, shape_of
 from exprspark.session import cut
 
 
@@ -30,7 +30,10 @@ def sample_qc(cells: DataFrame, features: DataFrame | None = None) -> DataFrame:
 def flag_samples(qc: DataFrame) -> DataFrame:
     """REVIEW when the library is below a fifth, or detection below half, of the cohort median."""
     qc = cut(qc)
-    middle = one_row(medians(qc, [], "library_size", "median_library"), medians(qc, [], "detected_features", "median_detected"))
+    if qc.count() <= ROWS_PER_TASK:
+        middle = qc.agg(F.percentile("library_size", 0.5).alias("median_library"), F.percentile("detected_features", 0.5).alias("median_detected"))
+    else:
+        middle = one_row(medians(qc, [], "library_size", "median_library"), medians(qc, [], "detected_features", "median_detected"))
     reasons = F.array_compact(F.array(
         F.when((F.col("median_library") > 0) & (F.col("library_size") < F.col("median_library") * 0.2), "LOW_LIBRARY_SIZE"),
         F.when((F.col("median_detected") > 0) & (F.col("detected_features") < F.col("median_detected") * 0.5), "LOW_DETECTED_FEATURES")))
@@ -71,12 +74,21 @@ def raw_qc(gene_counts: DataFrame, feat: DataFrame, stats: DataFrame) -> DataFra
 
 
 def mean_sample_corr(cells: DataFrame) -> DataFrame:
-    """Mean Pearson correlation of log1p counts with every other sample. Pairs with a constant
-    sample have no correlation and are left out."""
+    """Mean Pearson correlation of log1p counts with every other sample. Constant samples have no correlation and are left
+    out, as is a sample without another one. With samples scaled to mean 0 and length 1, the correlations of a sample
+    add up to its product with the sum of all samples, so two passes over the cells do."""
     logged = cells.withColumn("value", F.log1p(F.bround("value")))
-    pairs = sample_correlation(logged, constant_as=None).where("sample_a <> sample_b and correlation is not null")
-    both = pairs.select(F.explode(F.array("sample_a", "sample_b")).alias("sample_id"), "correlation")
-    return both.groupBy("sample_id").agg(F.avg("correlation").alias("mean_correlation"))
+    features = F.lit(float(shape_of(cells)[0]))
+    per = logged.groupBy("sample_id").agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"))
+    varied = per.where(features * F.col("_q") - F.col("_s") ** 2 > 1e-12 * features * F.col("_q"))
+    length = F.sqrt(F.col("_q") - F.col("_s") ** 2 / features)
+    side = cut(varied.select("sample_id", (1 / length).alias("_a"), (F.col("_s") / features / length).alias("_b"), "_s"))
+    scaled = spread_join(logged, side.select("sample_id", "_a"), ["sample_id"], "feature_id").select("sample_id", "feature_id", (F.col("value") * F.col("_a")).alias("z"))
+    sums = cut(scaled.groupBy("feature_id").agg(F.sum("z").alias("_y")))
+    dots = spread_join(scaled, sums, ["feature_id"], "sample_id").groupBy("sample_id").agg(F.sum(F.col("z") * F.col("_y")).alias("_dot"))
+    whole = one_row(side.agg(F.sum("_b").alias("_all"), F.count(F.lit(1)).alias("_n")), sums.agg(F.sum("_y").alias("_ys")))
+    total = F.col("_dot") - F.col("_a") * F.col("_all") * F.col("_s") - F.col("_b") * F.col("_ys") + features * F.col("_b") * F.col("_all")
+    return one_row(dots.join(side, "sample_id"), whole).where("_n > 1").select("sample_id", ((total - 1) / (F.col("_n") - 1)).alias("mean_correlation"))
 
 
 def pca_distance(cells: DataFrame) -> DataFrame:
