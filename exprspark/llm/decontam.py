@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text becomes template words: numbers, names and units are typed placeholders that keep their
-value, all else is lower-cased letters and digits. Windows of template words are hash-joined with the
+value, all else is lower-cased letters and digits. Blocks of template words are hash-joined with the
 windows of the benchmark; each hit gives an alignment of a document with an item, on which the words
 are compared one by one and the slot values checked for consistency.
 """
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from exprspark.llm import common
 from exprspark.session import cut
 
-WINDOW = 8
-STRIDE = 4
+WINDOW = 6
 #: A window needs so many plain words to be keyed by its template; every window is keyed by its values too.
 PLAIN = 4
 COVERAGE = 0.6
@@ -30,16 +29,16 @@ NUMBER, NAME, UNIT = "①", "②", "③"
 
 
 def canonical(text: Column) -> Column:
-    """Template words joined by one space; a placeholder is its mark followed by its value.
+    """Template words in their own case, joined by one space; a placeholder is its mark followed by its value.
 
     A name is a word with one leading capital that follows another word of the same sentence; a unit is a listed
-    word after a number. Numbers keep decimal signs as underscores.
+    word after a number. Numbers keep decimal signs as underscores. Marks that stand in a text are treated like its own.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}{NAME}{UNIT}]", " ")
-    t = F.regexp_replace(t, r"(?<=\p{Nd})[.,](?=\p{Nd})", "_")
-    t = F.regexp_replace(t, r"(?<=[^.!?\s]\s)(\p{Lu}\p{Ll}[\p{L}\p{Nd}]*)", f"{NAME}$1")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{Nd}_])(\p{Nd}[\p{Nd}_]*)(\p{L}{0,12})", f"{NUMBER}$1 $2")
-    t = F.regexp_replace(F.lower(t), rf"({NUMBER}[\p{{Nd}}_]+)\s+({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}_])", f"$1 {UNIT}$2")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?=\p{Lu})(?<=[^.!?\s]\s)\p{Lu}\p{Ll}[\p{L}\p{Nd}]*", f"{NAME}$0")
+    n = F.regexp_replace(t, r"(?<=\p{Nd})[.,](?=\p{Nd})", "_")
+    n = F.regexp_replace(n, r"(?=\p{Nd})(?<![\p{L}\p{Nd}_])(\p{Nd}[\p{Nd}_]*)(\p{L}{0,12})", f"{NUMBER}$1 $2")
+    n = F.regexp_replace(n, rf"({NUMBER}[\p{{Nd}}_]+)\s+((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{Nd}}_])", f"$1 {UNIT}$2")
+    t = F.when(t.rlike(r"\p{Nd}"), n).otherwise(t)
     return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{Nd}}_{NUMBER}{NAME}{UNIT}]+", " "))
 
 
@@ -57,9 +56,24 @@ def values(line: Column) -> Column:
     return F.regexp_replace(line, f"[{NUMBER}{NAME}{UNIT}]", "")
 
 
-def _keys(source: str, stride: int, salt: int, width: int) -> str:
-    """SQL: array of (pos, key) of the windows of an array column, `stride` apart."""
-    return f"transform(if(size({source}) < {width}, array(), sequence(0, size({source}) - {width}, {stride})), i -> named_struct('pos', i, 'key', xxhash64({salt}, slice({source}, i + 1, {width}))))"
+def _lower(text: Column) -> Column:
+    return F.when(text.rlike(r"\p{Lu}"), F.lower(text)).otherwise(text)
+
+
+def document_windows(docs: DataFrame, short: list[int]) -> DataFrame:
+    """(text_key, pos, key) of each document's consecutive blocks of `WINDOW` words, by value and, where a text has placeholders,
+    by template too; and of all its windows of the lengths in `short`."""
+    line = docs.select(common.text_key().alias("text_key"), canonical(F.col("text")).alias("line"))
+    marked = F.col("line").rlike(f"[{NUMBER}{NAME}{UNIT}]")
+    forms = F.when(marked, F.array(values(F.col("line")), template(F.col("line")))).otherwise(F.array("line"))
+    each = line.select("text_key", F.explode(forms).alias("line"))
+    blocks = each.select("text_key", F.posexplode(F.regexp_extract_all("line", F.lit(f"(?:[^ ]+ ){{{WINDOW - 1}}}[^ ]+"), F.lit(0))).alias("n", "window"))
+    out = blocks.select("text_key", (F.col("n") * WINDOW).alias("pos"), F.xxhash64(_lower(F.col("window"))).alias("key"))
+    for width in short:
+        own = each.select("text_key", words(_lower(F.col("line"))).alias("w")).where(F.size("w") >= width)
+        at = own.select("text_key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.array_join(F.slice("w", i, width), " "))).alias("pos", "window"))
+        out = out.unionByName(at.select("text_key", "pos", F.xxhash64("window").alias("key")))
+    return out
 
 
 def _mark(word: str) -> str:
@@ -71,48 +85,42 @@ def _arrays(line: Column) -> list[Column]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, windows): items (item, item_id, words, tpl, vals, n, width) that have words; windows (key, item, item_pos, width).
+    """(items, windows): items (item, item_id, words, tpl, vals, n, width) that have words; windows (key, item, item_pos).
 
     An item shorter than a window is one window of its own length.
     """
-    line = canonical(F.col("text"))
+    line = F.lower(canonical(F.col("text")))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), line.alias("line")).where("line <> ''").distinct().select("item_id", *_arrays(F.col("line")))
     items = cut(items.withColumn("item", F.xxhash64("item_id", "words")).withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WINDOW))))
     at = items.select("item", "tpl", "vals", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("item_pos"))
     at = at.withColumn("own", F.expr("slice(tpl, item_pos + 1, width)"))
     plain = F.expr(f"size(filter(own, w -> not {_mark('w')}))")
-    templated = F.when(plain >= F.least(F.lit(PLAIN), F.col("width")), F.xxhash64(F.lit(1), "own"))
-    by_value = F.xxhash64(F.lit(2), F.expr("slice(vals, item_pos + 1, width)"))
-    return items, cut(at.select(F.explode(F.array_compact(F.array(templated, by_value))).alias("key"), "item", "item_pos", "width"))
+    templated = F.when(plain >= F.least(F.lit(PLAIN), F.col("width")), F.xxhash64(F.array_join("own", " ")))
+    by_value = F.xxhash64(F.array_join(F.expr("slice(vals, item_pos + 1, width)"), " "))
+    return items, cut(at.select(F.explode(F.array_distinct(F.array_compact(F.array(templated, by_value)))).alias("key"), "item", "item_pos"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, stride: int = STRIDE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per distinct (doc_id, text) and benchmark item that it contains, perhaps with other numbers, names or units:
     doc_id, text_key, item_id, at (word where the item would start), matched, item_words, coverage, slots, same_values.
 
     An item is contained if at one alignment at least `COVERAGE` of its words are equal, as templates or as values, and the
     slots agree: equal item values stand for equal document values and different ones for different ones. Where fewer
-    than `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by an equal window of `WINDOW`
-    words that starts at a multiple of `stride` in the document, so every common run of WINDOW + stride - 1 words is
-    found; shorter items use their own length and stride 1. Null and empty texts contain nothing and are contained in
-    nothing. Repeated rows count once.
+    than `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by a block of `WINDOW` words of
+    the document that equals a window at any place of the item, so every common run of 2 * WINDOW - 1 words is found;
+    items shorter than that are looked for at every place of the document. Null and empty texts contain nothing and are
+    contained in nothing. Repeated rows count once.
     """
     items, keys = benchmark_windows(benchmark)
-    widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # at most WINDOW rows
-    shortest = items.where(F.col("n") >= WINDOW).agg(F.min("n")).first()[0] or WINDOW
-    step = max(1, min(stride, shortest - WINDOW + 1))
-
-    held = docs.select(common.text_key().alias("text_key"), canonical(F.col("text")).alias("line")).select("text_key", *_arrays(F.col("line")))
-    every = [_keys(name, step if width == WINDOW else 1, salt, width) for width in widths for name, salt in (("tpl", 1), ("vals", 2))]
-    at = held.select("text_key", F.explode(F.expr(f"concat({', '.join(every)})" if every else "array(named_struct('pos', 0, 'key', 0L))")).alias("w"))
-    side = keys.select("key", "item", "item_pos")
-    if keys.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    found = cut(at.select("text_key", F.col("w.pos").alias("pos"), F.col("w.key").alias("key")).join(side, "key").select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
+    short = sorted(r["width"] for r in items.where(F.col("n") < 2 * WINDOW - 1).select("width").distinct().collect())  # at most WINDOW rows
+    at = document_windows(docs, short)
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    found = cut(at.join(side, "key").select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_key().alias("text_key"), "text")
     pairs = found.join(items.select("item", "item_id", F.col("words").alias("iw"), F.col("tpl").alias("it"), F.col("vals").alias("iv"), "n"), "item")
-    both = texts.join(pairs, "text_key").withColumn("line", canonical(F.col("text"))).select("doc_id", "text_key", "item_id", "at", "n", "iw", "it", "iv", words(template(F.col("line"))).alias("dt"), words(values(F.col("line"))).alias("dv"))
+    both = texts.join(pairs, "text_key").withColumn("line", F.lower(canonical(F.col("text")))).select("doc_id", "text_key", "item_id", "at", "n", "iw", "it", "iv", words(template(F.col("line"))).alias("dt"), words(values(F.col("line"))).alias("dv"))
+    both = cut(both)  # few rows; their words are made once
     both = both.select("doc_id", "text_key", "item_id", "at", "n", F.expr(
         f"filter(transform(sequence(0, n - 1), i -> named_struct('i', iv[i], 'd', get(dv, at + i), 'typed', it[i] <=> get(dt, at + i), 'slot', {_mark('iw[i]')})), p -> p.typed or p.i <=> p.d)").alias("same"))
     slots = F.expr("array_distinct(transform(filter(same, p -> p.slot and p.typed), p -> named_struct('i', p.i, 'd', p.d)))")
