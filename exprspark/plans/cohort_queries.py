@@ -579,9 +579,9 @@ def _named(v):
     return v.estimates.withColumnRenamed("population", "cell_type_id")
 
 
-@query("dec_composition", "d_estimates", sql="select sample_id, round(sum(value), 6) as reported_sum, round(greatest(0, 1 - sum(value)), 6) as residual_fraction, abs(sum(value) - 1) <= 1e-6 as within_tolerance from d_estimates where run = 'A' group by 1")
+@query("dec_composition", "d_estimates", sql="select run || '-' || sample_id as sample_id, round(sum(value), 6) as reported_sum, round(greatest(0, 1 - sum(value)), 6) as residual_fraction, abs(sum(value) - 1) <= 1e-6 as within_tolerance from d_estimates group by 1")
 def _(v):
-    return show(D.composition(_named(v).where("run = 'A'")))
+    return show(D.composition(_named(v).withColumn("sample_id", F.concat_ws("-", "run", "sample_id"))))
 
 
 @query("dec_population_z", "d_estimates", sql="select sample_id, run || population as cell_type_id, round((value - avg(value) over (partition by run, population)) / stddev_samp(value) over (partition by run, population), 5) as z from d_estimates")

@@ -403,9 +403,9 @@ def _(v):
     return T.matrix_long(wide, "samples_by_features", "sample")
 
 
-@query("src_matrix_wide", "m_region", sql="""select feature_id, coalesce(sum(value) filter (sample_id = 'AFRICA'), 0) as "AFRICA", coalesce(sum(value) filter (sample_id = 'AMERICA'), 0) as "AMERICA", coalesce(sum(value) filter (sample_id = 'ASIA'), 0) as "ASIA" from m_region group by 1""")
+@query("src_matrix_wide", "m_region", sql="""select feature_id, coalesce(sum(value) filter (sample_id = 'AFRICA'), 0) as "AFRICA", coalesce(sum(value) filter (sample_id = 'AMERICA'), 0) as "AMERICA", coalesce(sum(value) filter (sample_id = 'ASIA'), 0) as "ASIA", coalesce(sum(value) filter (sample_id = 'EUROPE'), 0) as "EUROPE", coalesce(sum(value) filter (sample_id = 'MIDDLE EAST'), 0) as "MIDDLE EAST" from m_region group by 1""")
 def _(v):
-    return T.matrix_wide(v.region_counts, "features_by_samples", ["AFRICA", "AMERICA", "ASIA"])
+    return T.matrix_wide(v.region_counts, "features_by_samples", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
 @query("src_metadata", "m_meta", "m_counts", sql="select sample_id, condition, batch from m_meta where sample_id in (select sample_id from m_counts)")
@@ -544,10 +544,10 @@ def _(v):
     return T.fraction_findings(wide, v.counts.select("sample_id").distinct())
 
 
-@query("src_fractions", "d_estimates", sql="select sample_id, population as cell_type_id, round(value, 6) as value from d_estimates where run = 'A'")
+@query("src_fractions", "d_estimates", sql="select sample_id, population as cell_type_id, round(coalesce(value, 0), 6) as value from (select distinct run || '-' || sample_id as sample_id from d_estimates), (select unnest(['F', 'O']) as population) left join (select run || '-' || sample_id as sample_id, population, value from d_estimates) using (sample_id, population)")
 def _(v):
-    one = v.estimates.where("run = 'A'")
-    wide = one.groupBy(F.col("sample_id").alias("Mixture")).pivot("population", ["F", "O"]).agg(F.first("value")).withColumn("RMSE", F.lit(0.5))
+    one = v.estimates.withColumn("sample_id", F.concat_ws("-", "run", "sample_id"))
+    wide = one.groupBy(F.col("sample_id").alias("Mixture")).pivot("population", ["F", "O"]).agg(F.first("value")).na.fill(0.0).withColumn("RMSE", F.lit(0.5))
     return T.read_fractions(v.spark, _written(v, wide, "fractions"), one.select("sample_id").distinct()).select("sample_id", "cell_type_id", r("value"))
 
 
