@@ -35,14 +35,14 @@ QC = """qc as (select sample_id, sum(value) as library_size, count(*) filter (va
 
 @query("qc_sample_metrics", "m_counts", sql=f", {QC} select * from qcm")
 def _(v):
-    return Q.sample_qc(v.counts)
+    return Q.sample_qc(v.counts_once)
 
 
 @query("qc_sample_flags", "m_counts", sql=f""", {QC}, m as (select median(library_size) as ml, median(detected_features) as md from qcm),
  g as (select qcm.*, ml > 0 and library_size < ml * 0.2 as a, md > 0 and detected_features < md * 0.5 as b from qcm, m)
  select * exclude (a, b), case when a or b then 'REVIEW' else 'PASS' end as status, concat_ws(';', case when a then 'LOW_LIBRARY_SIZE' end, case when b then 'LOW_DETECTED_FEATURES' end) as reasons from g""")
 def _(v):
-    return Q.flag_samples(Q.sample_qc(v.counts))
+    return Q.flag_samples(Q.sample_qc(v.counts_once))
 
 
 @query("qc_nation_flags", "m_nation", sql=f""", {QC.replace("m_counts", "m_nation")}, m as (select median(library_size) as ml, median(detected_features) as md from qcm),
@@ -57,7 +57,7 @@ LOGCPM = "lc as (select feature_id, sample_id, log2(value / sum(value) over (par
 
 @query("qc_log_cpm", "m_counts", sql=f", {LOGCPM} select feature_id, sample_id, round(value, 6) as value from lc")
 def _(v):
-    return show(Q.log_cpm(v.counts))
+    return show(Q.log_cpm(v.counts_once))
 
 
 @query("qc_raw", "m_counts", "m_feat", sql="""select sample_id, sum(value) as library_size, count(*) filter (value > 0) as detected_genes, round(100.0 * count(*) filter (value > 0) / (select count(distinct feature_id) from m_counts), 6) as detected_genes_percent,
@@ -88,7 +88,7 @@ def _(v):
 
 @query("qc_tukey_flags", "m_counts", sql=f", {QC}, q as (select quantile_cont(library_size, 0.25) as q1, quantile_cont(library_size, 0.75) as q3 from qcm) select sample_id, library_size, library_size < q1 - 3 * (q3 - q1) as outlier from qcm, q")
 def _(v):
-    return Q.tukey_flags(Q.sample_qc(v.counts), "library_size", "lower")
+    return Q.tukey_flags(Q.sample_qc(v.counts_once), "library_size", "lower")
 
 
 @query("qc_tukey_flags_upper", sql="""with t as (select cast(o_custkey as varchar) as sample_id, sum(o_totalprice) as spent from orders group by 1), q as (select quantile_cont(spent, 0.25) as q1, quantile_cont(spent, 0.75) as q3 from t)
@@ -101,7 +101,7 @@ def _(v):
 @query("qc_mad_outliers", "m_counts", sql=f""", {QC}, c as (select median(library_size) as m from qcm), d as (select 1.4826 * median(abs(library_size - m)) as mad from qcm, c)
  select sample_id, library_size, round(case when mad > 0 then (library_size - m) / mad else 0 end, 6) as library_size_z from qcm, c, d""")
 def _(v):
-    return show(Q.robust_z(Q.sample_qc(v.counts).select("sample_id", "library_size"), "library_size"), "library_size")
+    return show(Q.robust_z(Q.sample_qc(v.counts_once).select("sample_id", "library_size"), "library_size"), "library_size")
 
 
 @query("qc_array", "m_region", sql="""select sample_id, round(median(log2(value + 1)), 6) as raw_log2_median, round(quantile_cont(log2(value + 1), 0.75) - quantile_cont(log2(value + 1), 0.25), 6) as raw_log2_iqr,
@@ -122,12 +122,12 @@ KEPT = "kept as (select feature_id from m_counts group by 1 having count(*) filt
 
 @query("qc_low_count_filter", "m_counts", sql=f", {KEPT} select feature_id, sample_id, value from m_counts where feature_id in (select feature_id from kept)")
 def _(v):
-    return Q.filter_low_counts(v.counts, 30, 12)[0]
+    return Q.filter_low_counts(v.counts_once, 30, 12)[0]
 
 
 @query("qc_low_count_numbers", "m_counts", sql=f", {KEPT} select (select count(*) from kept) as features_kept, count(distinct feature_id) - (select count(*) from kept) as features_filtered from m_counts")
 def _(v):
-    return Q.filter_low_counts(v.counts, 30, 12)[1]
+    return Q.filter_low_counts(v.counts_once, 30, 12)[1]
 
 
 @query("qc_size_factors", "m_region", sql="""select sample_id, round(exp(median(ln(value) - lm)), 6) as size_factor from m_region join (select feature_id, avg(ln(value)) as lm from m_region where value > 0 group by 1 having count(*) = 5) using (feature_id) group by 1""")

@@ -23,12 +23,16 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def counts(self) -> DataFrame:
-        """The cell table. It is written once: operators pass over their matrix several times."""
-        line = self.table("lineitem")
-        return cut(line.groupBy(
+    def counts_once(self) -> DataFrame:
+        """The cell table, for queries of one job: a plan that reads it twice shares its shuffle."""
+        return self.table("lineitem").groupBy(
             F.col("l_partkey").cast("string").alias("feature_id"), F.col("l_suppkey").cast("string").alias("sample_id")
-        ).agg(F.sum("l_quantity").alias("value")))
+        ).agg(F.sum("l_quantity").alias("value"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """The cell table, written once: for operators of several jobs over their matrix."""
+        return cut(self.counts_once)
 
     @cached_property
     def meta(self) -> DataFrame:

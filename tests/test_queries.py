@@ -34,3 +34,11 @@ def test_query_equals_sql(spark, name):
         return sorted((tuple(r[i] for i in places) for r in rows), key=str)
 
     assert ordered(frame.columns, [tuple(r) for r in frame.collect()]) == ordered(relation.columns, relation.fetchall())
+
+
+def test_entry_works_without_the_document_folder(monkeypatch):
+    for absent in ("corpus_pipeline", "exprspark.llm"):
+        with monkeypatch.context() as patch:
+            patch.setitem(__import__("sys").modules, absent, None)
+            assert not [n for n in entry_module.queries() if n == "pipeline" or n.startswith("op")]
+            assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
