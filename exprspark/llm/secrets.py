@@ -23,6 +23,8 @@ from exprspark.llm import common
 
 #: Alternatives kept while strings are enumerated; beyond that a part counts as unknown, which only weakens the filter.
 ALTERNATIVES = 64
+#: Trigrams of a conjunction that are looked up in the index.
+CLAUSE = 4
 BASE = ("assign", "access", "hex")
 
 
@@ -38,7 +40,7 @@ class Rule:
 RULES = (
     Rule("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),  # runs of 24 or more: those of [0-9a-f]+ that are long enough
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
     Rule("forge", r"(?:ghp|gho|ghu|ghs|ghr|github_pat|glpat)[_-][A-Za-z0-9_]{20,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -114,20 +116,32 @@ def trigram_query(pattern: str) -> Query:
     return frozenset(q for q in query if not any(other < q for other in query))
 
 
+def asked(rules: tuple[Rule, ...]) -> list[tuple[int, int, str]]:
+    """(rule, clause, trigram) of the indexed rules. A clause keeps `CLAUSE` of its trigrams, those with signs first, which are
+    rarer; leaving out the others only weakens the filter."""
+    queries = [(n, trigram_query(rule.pattern)) for n, rule in enumerate(rules)]
+    return [(n, c, t) for n, q in queries if q != ANY for c, clause in enumerate(sorted(map(sorted, q))) for t in sorted(clause, key=lambda t: (t.isalpha(), t))[:CLAUSE]]
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index, restricted to the trigrams that are asked for: (trigram, text_key), once per distinct text key."""
-    lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select(common.text_key().alias("text_key"), held.alias("held")).where(F.size("held") > 0).distinct().select("text_key", F.explode("held").alias("trigram"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[t for t in trigrams if t in low] for low in ((text or "").lower() for text in batch.column("text").to_pylist())]
+            rows = pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(held, pa.list_(pa.string()))], names=["text_key", "held"])
+            yield rows.filter(pa.array([bool(h) for h in held], pa.bool_()))
+
+    found = docs.select(common.text_key().alias("text_key"), "text").mapInArrow(find, "text_key bigint, held array<string>")
+    return found.distinct().select("text_key", F.explode("held").alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(text_key, rules): for each text key the numbers of the indexed rules whose trigram query its postings fulfil."""
-    asked = [(n, c, t) for n, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) != ANY for c, clause in enumerate(sorted(map(sorted, q))) for t in clause]
-    spark = docs.sparkSession
-    clauses = spark.createDataFrame(asked or [(-1, 0, "")], "rule int, clause int, trigram string")  # bounded by the rules
+    wanted = asked(rules)
+    clauses = docs.sparkSession.createDataFrame(wanted or [(-1, 0, "")], "rule int, clause int, trigram string")  # bounded by the rules
     needed = clauses.groupBy("rule", "clause").agg(F.count(F.lit(1)).alias("needed"))
-    hits = postings(docs, sorted({t for _, _, t in asked}) or [""]).join(F.broadcast(clauses), "trigram").groupBy("text_key", "rule", "clause").agg(F.count(F.lit(1)).alias("n"))
+    hits = postings(docs, sorted({t for _, _, t in wanted})).join(F.broadcast(clauses), "trigram").groupBy("text_key", "rule", "clause").agg(F.count(F.lit(1)).alias("n"))
     met = hits.join(F.broadcast(needed), ["rule", "clause"]).where("n = needed")
     return met.groupBy("text_key").agg(F.collect_set("rule").alias("rules"))  # at most one entry per rule
 
