@@ -77,8 +77,8 @@ def headers(files: DataFrame, templates: DataFrame) -> DataFrame:
     side, norms, anchors, outside = weights(files, templates)
     if not anchors:
         return files.sparkSession.createDataFrame([], "path string, license string, score double")
-    pattern = "(?i)(" + "|".join(a.replace(".", "\\.").replace("-", "\\-") for a in anchors) + ")"
-    rows = files.where(F.col("text").rlike(pattern)).select("path", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.col("line").rlike(pattern))
+    some = F.array(*[F.lit(a) for a in anchors])
+    rows = files.where(F.arrays_overlap(terms(F.col("text")), some)).select("path", F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(terms(F.col("line")), some))
     words = rows.distinct().select("path", "line", F.explode(terms(F.col("line"))).alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(side.select("term", "idf").distinct())  # the templates' vocabulary
     weighed = cut(words.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(outside))))
