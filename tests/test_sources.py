@@ -72,5 +72,5 @@ def test_criteria_cover_every_outcome(spark):
         [("a", "icc", "classifier_score", "gte", [0.7]), ("b", "icc", "classifier_score", "between", [0.0, 0.5]), ("c", "repeatability_sd", "classifier_score", "lte", [1.0]),
          ("d", "icc", "predicted_class", "gte", [0.1]), ("e", "categorical_agreement", "predicted_class", "near", [0.5])],
         "criterion_id string, metric string, endpoint string, operator string, threshold array<double>")
-    got = {r["criterion_id"]: r["status"] for r in studies.evaluate_criteria(metrics, criteria).collect()}
+    got = {r["criterion_id"]: r["status"] for r in studies.evaluate_criteria(metrics, criteria, "precision").collect()}
     assert got == {"a": "PASS", "b": "FAIL", "c": "INDETERMINATE", "d": "NOT_APPLICABLE", "e": "NOT_APPLICABLE"}
