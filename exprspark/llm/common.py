@@ -46,26 +46,29 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable from each node of `edges` (u, v).
 
     Alternating large and small stars (Kiveris et al. 2014): each step replaces a node's links by
     links to its smallest neighbour, so a path shortens geometrically. A node of any degree costs
     one aggregated row and a join that adaptive execution can split; steps are written to the shared
-    folder.
+    folder, in at most `parts` files where the number of nodes is known. It ends when no root is itself a child and no
+    child has two roots.
     """
-    current = cut(edges.where("u <> v").select("u", "v").distinct())
-    seen = None
+    current = edges.where("u <> v").select("u", "v")
+    done = 0
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e"))
-        current = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        state = tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen:
-            break
-        seen = state
+        stars = small.select("e.u", "e.v").where("u <> v").distinct()
+        current = cut(stars.coalesce(parts) if parts else stars)
+        done += 1
+        if done > 1:
+            children = current.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+            nested = children.where("n > 1").select("u").unionByName(children.join(current.select(F.col("v").alias("u")), "u", "left_semi").select("u"))
+            if nested.isEmpty():
+                break
     return current.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

@@ -5,10 +5,12 @@ two minima, are computed; every pair of a left and a right half key is one table
 four-row tables thus cost `4 * SIDE` minima. A half key that no other class has can make no table
 key, so it is dropped before the pairs are formed: lone documents never reach the tables.
 
-Inside a table bucket nobody is paired with everybody. Each member is compared with one member of
-the bucket; links that hold on the full shingle sets are joined into components; only buckets that
-still hold several components go on, small ones with all their pairs across components, larger
-ones with other partners each round and at last with all blocks of members against each other.
+Inside a table bucket nobody is paired with everybody. Each class is compared with the ends of its
+buckets and with its neighbours in some buckets sorted by a run of minima; links that hold on the
+full shingle sets are joined into components. Only buckets that then hold several components go on:
+small ones with all pairs across components, larger ones sorted by another run, where each member
+meets the nearest one of another component. Work stays linear in the size of a bucket, however
+large a group of copies is.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ SIDE = 14
 ROWS = 2 * 2 * SIDE
 MULTIPLIERS = hashing.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SHIFTS = hashing.mix(np.arange(501, 501 + ROWS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-#: At similarity 0.75 a pair agrees on 42 of 56 minima, 3.2 the standard deviation; below 23 is six of those off.
-AGREE = 23
-SMALL_BUCKET = 16
-BLOCK = 128
+#: At similarity 0.75 a pair agrees on 42 of 56 minima on average and on fewer than 28 once in some 40,000 cases.
+AGREE = 28
+#: Up to this size a bucket of several components is compared pair by pair.
+SMALL_BUCKET = 48
 
 PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, halves array<bigint>, minima binary"
 
@@ -100,38 +102,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components, alike in their minima, of two blocks of one bucket."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, class, root) in order: each class with the nearest one before it, in the same bucket, of another component."""
+    last = np.empty((3, 0), np.int64)
     for batch in batches:
-        u, v = [], []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            a, b = (np.frombuffer(b"".join(m["minima"] for m in side), np.uint16).reshape(len(side), ROWS) for side in (left, right))
-            agree = np.zeros((len(left), len(right)), np.int16)
-            for k in range(ROWS):
-                agree += a[:, k, None] == b[None, :, k]
-            for i, j in zip(*np.nonzero(agree >= AGREE)):
-                if left[i]["root"] != right[j]["root"]:
-                    u.append(left[i]["class"]), v.append(right[j]["class"])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "class", "root")])], axis=1)
+        last = rows[:, -1:]
+        key, cls, root = rows
+        if len(key) < 2:
+            continue
+        at = np.arange(1, len(key))
+        same = key[1:] == key[:-1]
+        change = np.maximum.accumulate(np.where(same & (root[1:] != root[:-1]), at, 0))
+        start = np.maximum.accumulate(np.where(~same, at, 0))
+        good = change > start
+        yield pa.RecordBatch.from_arrays([pa.array(cls[1:][good]), pa.array(cls[change[good] - 1])], names=["u", "v"])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the similarity. Pairs whose minima are far apart are left out first."""
-    low = classes.select("class", "minima")
-    near = (pairs.join(low.select(F.col("class").alias("u"), F.col("minima").alias("left")), "u")
-            .join(low.select(F.col("class").alias("v"), F.col("minima").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(_alike, "u bigint, v bigint"))
-    near = cut(near)
-    return cut(near.join(texts.select(F.col("class").alias("u"), F.col("text").alias("left")), "u")
-               .join(texts.select(F.col("class").alias("v"), F.col("text").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(_verify, "u bigint, v bigint"))
+def _near(pairs: DataFrame, kept: DataFrame, parts: int) -> DataFrame:
+    """The pairs (u, v) without those whose minima are far apart."""
+    low = kept.select("class", "minima")
+    return cut(pairs.join(low.select(F.col("class").alias("u"), F.col("minima").alias("left")), "u")
+               .join(low.select(F.col("class").alias("v"), F.col("minima").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(_alike, "u bigint, v bigint").coalesce(parts))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach the similarity."""
+    return cut(pairs.join(texts.select(F.col("class").alias("u"), F.col("text").alias("left")), "u")
+               .join(texts.select(F.col("class").alias("v"), F.col("text").alias("right")), "v").select("u", "v", "left", "right").coalesce(parts).mapInArrow(_verify, "u bigint, v bigint"))
 
 
 def _tables(survivors: DataFrame) -> DataFrame:
-    keys = F.expr("flatten(transform(lefts, a -> transform(rights, b -> xxhash64(a, b))))")
-    return survivors.select("class", F.explode(keys).alias("key"))
+    """One row per class and table: its bucket key and the table's two slots."""
+    keys = F.expr("flatten(transform(lefts, a -> transform(rights, b -> named_struct('key', xxhash64(a.half, b.half), 'left', a.slot, 'right', b.slot - " + str(SIDE) + "))))")
+    return survivors.select("class", F.explode(keys).alias("t")).select("class", "t.*")
 
 
 def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -140,65 +148,60 @@ def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("halves").alias("halves"), F.first("minima").alias("minima")))
     halves = classes.select("class", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("half").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("half")
-    left = F.collect_list(F.when(F.col("slot") < SIDE, F.col("half")))  # at most SIDE values
-    right = F.collect_list(F.when(F.col("slot") >= SIDE, F.col("half")))
+    own = F.struct("slot", "half")
+    left, right = F.collect_list(F.when(F.col("slot") < SIDE, own)), F.collect_list(F.when(F.col("slot") >= SIDE, own))  # at most SIDE values each
     survivors = cut(halves.join(shared, "half").groupBy("class").agg(left.alias("lefts"), right.alias("rights")).where("size(lefts) > 0 and size(rights) > 0"))
+    # tables of a few numbers per surviving class need few files; texts and bucket members need ten times as many
+    active = survivors.count()
+    few, many = max(12, active // 20_000), max(12, active // 2_000)
+    kept = cut(classes.join(survivors.select("class"), "class").select("class", "row", "minima"))
     tables = _tables(survivors)
+    buckets = tables.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    members = cut(tables.join(buckets, "key").coalesce(many))
 
-    reps = tables.groupBy("key").agg(F.min("class").alias("rep"), F.max("class").alias("last")).where("rep <> last").select("key", "rep")
-    counted = tables.join(reps, "key").where("class <> rep").groupBy("class", "rep").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("class").agg(F.max(F.struct("n", "rep")).alias("most"), F.min("rep").alias("low"))
-    pairs = cut(_ordered(best.select(F.col("class").alias("u"), F.explode(F.array_distinct(F.array("most.rep", "low"))).alias("v"))))
-
-    wanted = classes.join(survivors.select("class"), "class", "left_semi").select("class", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("k"))
+    wanted = kept.select("class", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("k"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = cut(texts.join(wanted, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text").dropDuplicates(["class"]))
-
-    links = tested = roots = None
-    step, last = 0, False
-    while True:
-        fresh = _links(pairs, classes, texts)
-        found = not fresh.isEmpty()
-        links = fresh if links is None else links.unionByName(fresh)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if found or roots is None:
-            roots = cut(common.components(links))
-        if last:
-            break
-        step, last = step + 1, not found
-        members = tables.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = members.groupBy("key").agg(
-            F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"), F.min_by("class", F.xxhash64("class", "key", F.lit(step))).alias("rep")).where("a <> b")
-        still = cut(members.join(mixed.select("key", "size", "rep"), "key").select("key", "class", "root", "size", "rep"))
-        if still.isEmpty():
-            break
-        small, large = still.where(F.col("size") <= SMALL_BUCKET), still.where(F.col("size") > SMALL_BUCKET)
-        within = small.alias("l").join(small.alias("r"), F.expr("l.key = r.key and l.class > r.class and l.root <> r.root")).select(
-            F.col("l.class").alias("u"), F.col("r.class").alias("v"))
-        if last:
-            across = _all_blocks(large, classes)
-        else:
-            star = large.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("rep_root")), "rep", "left")
-            across = star.where("root <> coalesce(rep_root, rep)").select(F.col("class").alias("u"), F.col("rep").alias("v"))
-        pairs = cut(_ordered(within.unionByName(across)).join(tested, ["u", "v"], "left_anti"))
+    texts = cut(texts.join(wanted, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text").dropDuplicates(["class"]).coalesce(many))
+
+    # every class with the first and the last member of its buckets, and with its neighbours in some sorted buckets
+    pairs = _ends(members, "low", F.min).unionByName(_ends(members, "high", F.max))
+    pairs = cut(_ordered(pairs.unionByName(_nearest(members.where("size > 2").withColumn("root", F.col("class")), kept, (0,), 0))).coalesce(few))
+    links = _links(pairs, texts, few)
+    roots = cut(common.components(links, few).coalesce(few))
+
+    # then what lies across the components of a bucket
+    placed = members.select("class", "key", "left", "right", "size").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    still = cut(placed.join(mixed, "key").coalesce(few))
+    small = still.where(F.col("size") <= SMALL_BUCKET).select("key", "class", "root")
+    within = small.alias("l").join(small.alias("r"), F.expr("l.key = r.key and l.class > r.class and l.root <> r.root")).select(F.col("l.class").alias("u"), F.col("r.class").alias("v"))
+    across = within.unionByName(_nearest(still.where(F.col("size") > SMALL_BUCKET), kept, (2, 3, 4), 1))
+    more = _links(_near(_ordered(across).join(pairs, ["u", "v"], "left_anti"), kept, few), texts, few)
+    # links between the groups known so far, once each, and every class to its group
+    known = roots.withColumnsRenamed({"node": "x", "root": "y"})
+    ends = [F.coalesce("y", end).alias(end) for end in ("u", "v")]
+    between = links.unionByName(more).join(known, F.col("u") == F.col("x"), "left").select(ends[0], "v").join(known, F.col("v") == F.col("x"), "left").select("u", ends[1])
+    edges = cut(_ordered(between).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))).coalesce(few))
+    roots = cut(common.components(edges, few).coalesce(few))
     return roots.select(F.col("node").alias("class"), "root").unionByName(roots.select(F.col("root").alias("class"), "root")).distinct()
 
 
-def _all_blocks(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """What the star rounds left in large buckets, exactly. The members outside a bucket's largest component are compared
-    with each other and with that component, in blocks of about `BLOCK` members: a member goes to as many tasks as
-    there are blocks on the other side, and a pair is emitted only if its minima agree. Pairs inside the largest
-    component, which may be most of a large bucket, cost nothing."""
-    sizes = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_size"))
-    side = F.col("root") == F.col("main")
-    pieces = F.ceil(F.when(side, F.col("main_size")).otherwise(F.col("size") - F.col("main_size")) / BLOCK).cast("int")
-    member = F.struct("class", "root", "minima")
-    parts = (large.join(sizes, "key").join(classes.select("class", "minima"), "class").withColumn("side", side)
-             .withColumn("piece", F.pmod(F.xxhash64("class", F.lit(5)), pieces)).groupBy("key", "side", "piece").agg(F.collect_list(member).alias("members")))
-    one = parts.where("not side").select("key", F.col("piece").alias("p"), F.col("members").alias("left"))
-    two = parts.select("key", F.col("side").alias("main"), F.col("piece").alias("q"), F.col("members").alias("right"))
-    return one.join(two, "key").where("main or p <= q").select("left", "right").mapInArrow(_blocks, "u bigint, v bigint")
+def _ends(members: DataFrame, end: str, extreme) -> DataFrame:
+    """(u, v): each class with one end of the bucket it shares most tables with, and with the furthest of all its ends."""
+    counted = members.where(F.col("class") != F.col(end)).groupBy("class", end).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("class").agg(F.max(F.struct("n", F.col(end).alias("rep"))).alias("most"), extreme(end).alias("far"))
+    return best.select(F.col("class").alias("u"), F.explode(F.array_distinct(F.array("most.rep", "far"))).alias("v"))
+
+
+def _nearest(members: DataFrame, kept: DataFrame, diagonals: tuple[int, ...], step: int) -> DataFrame:
+    """(u, v): in the tables of some diagonals of the grid, whose buckets are sorted by a run of minima, each member and the
+    nearest one before it of another root. The sort spreads a large bucket over tasks."""
+    chosen = members.where(F.pmod(F.col("left") - F.col("right"), F.lit(SIDE)).isin(*diagonals))
+    twice = F.concat("minima", "minima")
+    begin = F.pmod(4 * F.col("left") + 4 * F.lit(step) + 4, F.lit(2 * ROWS))
+    run = F.concat(F.substring(twice, begin + 1, F.lit(24)), F.substring(twice, F.pmod(begin + ROWS, F.lit(2 * ROWS)) + 1, F.lit(24)))
+    ordered = chosen.join(kept.select("class", "minima"), "class").select("key", "class", "root", run.alias("run"))
+    return ordered.repartitionByRange("key", "run", "class").sortWithinPartitions("key", "run", "class").select("key", "class", "root").mapInArrow(_neighbours, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
