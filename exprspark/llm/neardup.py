@@ -9,8 +9,9 @@ Inside a table bucket nobody is paired with everybody. Each class is compared wi
 buckets and with its neighbours in some buckets sorted by a run of minima; links that hold on the
 full shingle sets are joined into components. Only buckets that then hold several components go on:
 small ones with all pairs across components, larger ones sorted by another run, where each member
-meets the nearest one of another component. Work stays linear in the size of a bucket, however
-large a group of copies is.
+meets the nearest one of another component. What is left in large buckets is compared exactly, in
+blocks: no pair of a bucket stays untested unless its members are already in one component. Pairs
+inside a component cost nothing, however large a group of copies is.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ SIDE = 14
 ROWS = 2 * 2 * SIDE
 MULTIPLIERS = hashing.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 SHIFTS = hashing.mix(np.arange(501, 501 + ROWS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-#: At similarity 0.75 a pair agrees on 42 of 56 minima on average and on fewer than 28 once in some 40,000 cases.
-AGREE = 28
-#: Up to this size a bucket of several components is compared pair by pair.
+#: At similarity 0.75 a pair agrees on 42 of 56 minima, 3.2 the standard deviation; below 23 is six of those off.
+AGREE = 23
+#: Up to this size a bucket of several components is compared pair by pair, a larger one in blocks of about `BLOCK` members.
 SMALL_BUCKET = 48
+BLOCK = 64
 
 PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, halves array<bigint>, minima binary"
 
@@ -119,6 +121,32 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls[1:][good]), pa.array(cls[change[good] - 1])], names=["u", "v"])
 
 
+def _member_arrays(block: pa.StructArray) -> tuple[np.ndarray, ...]:
+    cls, root, n, low, halves = block.flatten()
+    return (cls.to_numpy(), root.to_numpy(), n.to_numpy(), np.frombuffer(b"".join(low.to_pylist()), np.uint16).reshape(len(block), ROWS), halves.flatten().to_numpy().reshape(len(block), 2 * SIDE))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs across components of two blocks of one bucket that are alike in their minima and whose set sizes allow the
+    similarity. A pair is given only in the first of the tables it shares: its other buckets hold both members as well."""
+    for batch in batches:
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r in range(batch.num_rows):
+            one, two = (_member_arrays(batch.column(c)[r].values) for c in ("left", "right"))
+            ok = one[1][:, None] != two[1][None, :]
+            ok &= 4 * np.minimum(one[2][:, None], two[2][None, :]) >= 3 * np.maximum(one[2][:, None], two[2][None, :])
+            if not ok.any():
+                continue
+            agree = np.zeros(ok.shape, np.uint8)
+            for k in range(ROWS):
+                agree += one[3][:, k, None] == two[3][None, :, k]
+            i, j = np.nonzero(ok & (agree >= AGREE))
+            same = one[4][i] == two[4][j]
+            here = (same[:, :SIDE].argmax(axis=1) == batch.column("at_left")[r].as_py()) & (same[:, SIDE:].argmax(axis=1) == batch.column("at_right")[r].as_py())
+            u.append(one[0][i[here]]), v.append(two[0][j[here]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
@@ -145,7 +173,7 @@ def _tables(survivors: DataFrame) -> DataFrame:
 def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """(class, root) of every class linked to another one; all others are their own root."""
     classes = cut(profile.where(F.col("class").isNotNull()).groupBy("class").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("halves").alias("halves"), F.first("minima").alias("minima")))
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("halves").alias("halves"), F.first("minima").alias("minima"), F.first("n_shingles").alias("n")))
     halves = classes.select("class", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("half").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("half")
     own = F.struct("slot", "half")
@@ -154,7 +182,7 @@ def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
     # tables of a few numbers per surviving class need few files; texts and bucket members need ten times as many
     active = survivors.count()
     few, many = max(12, active // 20_000), max(12, active // 2_000)
-    kept = cut(classes.join(survivors.select("class"), "class").select("class", "row", "minima"))
+    kept = cut(classes.join(survivors.select("class"), "class").select("class", "row", "minima", "halves", "n"))
     tables = _tables(survivors)
     buckets = tables.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     members = cut(tables.join(buckets, "key").coalesce(many))
@@ -177,13 +205,42 @@ def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
     within = small.alias("l").join(small.alias("r"), F.expr("l.key = r.key and l.class > r.class and l.root <> r.root")).select(F.col("l.class").alias("u"), F.col("r.class").alias("v"))
     across = within.unionByName(_nearest(still.where(F.col("size") > SMALL_BUCKET), kept, (2, 3, 4), 1))
     more = _links(_near(_ordered(across).join(pairs, ["u", "v"], "left_anti"), kept, few), texts, few)
-    # links between the groups known so far, once each, and every class to its group
+    roots = _joined(links.unionByName(more), roots, few)
+
+    # at last all that is still apart in large buckets; what is left apart after this pass has been tested
+    large = members.where(F.col("size") > SMALL_BUCKET).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rest = _all_blocks(large, kept)
+    if rest is not None:
+        tested = pairs.unionByName(_ordered(across))
+        roots = _joined(_links(_ordered(rest).join(tested, ["u", "v"], "left_anti"), texts, few), roots, few)
+    return roots.select(F.col("node").alias("class"), "root").unionByName(roots.select(F.col("root").alias("class"), "root")).distinct()
+
+
+def _joined(links: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """(node, root) after new links: those between the groups known so far, once each, and every class to its group."""
     known = roots.withColumnsRenamed({"node": "x", "root": "y"})
     ends = [F.coalesce("y", end).alias(end) for end in ("u", "v")]
-    between = links.unionByName(more).join(known, F.col("u") == F.col("x"), "left").select(ends[0], "v").join(known, F.col("v") == F.col("x"), "left").select("u", ends[1])
-    edges = cut(_ordered(between).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))).coalesce(few))
-    roots = cut(common.components(edges, few).coalesce(few))
-    return roots.select(F.col("node").alias("class"), "root").unionByName(roots.select(F.col("root").alias("class"), "root")).distinct()
+    between = links.join(known, F.col("u") == F.col("x"), "left").select(ends[0], "v").join(known, F.col("v") == F.col("x"), "left").select("u", ends[1])
+    edges = cut(_ordered(between).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))).coalesce(parts))
+    return cut(common.components(edges, parts).coalesce(parts))
+
+
+def _all_blocks(large: DataFrame, kept: DataFrame) -> DataFrame | None:
+    """(u, v): in buckets of several components, the members outside the largest one with each other and with that one, exactly.
+    Members are dealt over blocks of about `BLOCK`; a block goes to as many tasks as there are blocks on the other side, and
+    a pair is given only if its minima agree. None where no bucket holds several components."""
+    sizes = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    still = cut(large.join(sizes, "key").withColumn("side", F.col("root") == F.col("main")))
+    if still.isEmpty():
+        return None
+    pieces = F.ceil(F.when(F.col("side"), F.col("main_size")).otherwise(F.col("size") - F.col("main_size")) / BLOCK).cast("int")
+    parts = (still.join(kept.select("class", "n", "minima", "halves"), "class").withColumn("piece", F.pmod(F.xxhash64("class", F.lit(5)), pieces)).groupBy("key", "side", "piece")
+             .agg(F.first("left").alias("at_left"), F.first("right").alias("at_right"), F.collect_list(F.struct("class", "root", "n", "minima", "halves")).alias("members")))
+    parts = cut(parts)
+    one = parts.where("not side").select("key", "at_left", "at_right", F.col("piece").alias("p"), F.col("members").alias("left"))
+    two = parts.select("key", F.col("side").alias("main"), F.col("piece").alias("q"), F.col("members").alias("right"))
+    return cut(one.join(two, "key").where("main or p <= q").select("at_left", "at_right", "left", "right").mapInArrow(_blocks, "u bigint, v bigint"))
 
 
 def _ends(members: DataFrame, end: str, extreme) -> DataFrame:
