@@ -1,8 +1,9 @@
 """Licence scan in DataFrame operations only: sparse TF-IDF cosine of lines to licence templates, then inheritance
 from the nearest ancestor directory that has a licence.
 
-Every line of a file is a header candidate. A line can reach the threshold only if it holds an anchor term
-of some template: terms are taken heaviest first until the rest of the template weighs too little; lines
+Header candidates are every line of a file, every run of words of a template's length that begins with one of its
+words, across line ends too, and a licence file as a whole. A candidate can reach the threshold only if it holds an
+anchor term of some template: terms are taken heaviest first until the rest of the template weighs too little; texts
 without anchors are dropped before any words are exploded, and nothing is lost.
 """
 
@@ -43,18 +44,21 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, list[str], float]:
-    """(template terms with weight, template norms, anchor terms, weight of a term outside the vocabulary).
+def frequencies(files: DataFrame) -> DataFrame:
+    """(term, df): the number of files that hold each term, of all terms of all files."""
+    return cut(files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
-    idf = ln((files + 1) / (files that hold the term + 1)) + 1, over all files. A term outside the vocabulary of the
-    templates counts as one that no file holds.
+
+def weights(files: DataFrame, templates: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """(template terms with weight, template norms and lengths, anchor terms, number of files).
+
+    idf = ln((files + 1) / (files that hold the term + 1)) + 1, over all files.
     """
     vocabulary = sorted({w for r in templates.select(terms(F.col("text")).alias("t")).collect() for w in r["t"]})  # the templates' own size
-    held = F.array_intersect(terms(F.coalesce(F.col("text"), F.lit(""))), F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))
-    counted = files.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    found = {r["term"]: r["df"] for r in counted.collect()}  # at most the vocabulary
-    total = found.pop("", 0)
+    found = {r["term"]: r["df"] for r in held.where(F.col("term").isin(vocabulary)).collect()}  # at most the vocabulary
+    total = files.count()
     idf = {w: math.log((total + 1) / (found.get(w, 0) + 1)) + 1 for w in vocabulary}
+    sizes = {r["template"]: r["n"] for r in templates.select("template", F.size(terms(F.col("text"))).alias("n")).collect()}
     rows = [(r["template"], r["license"], w, r["t"].count(w) * idf[w]) for r in templates.select("template", "license", terms(F.col("text")).alias("t")).collect() for w in sorted(set(r["t"]))]
     anchors: set[str] = set()
     norms = {}
@@ -69,22 +73,46 @@ def weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFram
             rest -= x * x
     spark = files.sparkSession
     side = spark.createDataFrame([(t, n, w, x, idf[w]) for t, n, w, x in rows] or [("", "", "", 0.0, 0.0)], "template string, license string, term string, weight double, idf double")
-    return side, spark.createDataFrame(list(norms.items()) or [("", 1.0)], "template string, norm double"), sorted(anchors), math.log(total + 1) + 1
+    return side, spark.createDataFrame([(t, n, sizes[t]) for t, n in norms.items()] or [("", 1.0, 1)], "template string, norm double, n int"), sorted(anchors), total
+
+
+def _passages(texts: DataFrame, side: DataFrame, norms: DataFrame) -> DataFrame:
+    """(path, line, only): the runs of words that may reach the threshold of a template `only`.
+
+    A run of n words lies in two neighbouring blocks of n words of its text; where the template's terms found in these
+    weigh too little, no run that begins in the first of them is formed.
+    """
+    placed = cut(texts.withColumn("id", F.xxhash64("path", "text")).select("id", "path", terms(F.col("text")).alias("w")).where("size(w) > 0").distinct())
+    vocabulary = F.broadcast(side.select("template", "term", "weight"))
+    hits = placed.select("id", F.posexplode("w").alias("pos", "term")).join(vocabulary, "term").join(F.broadcast(norms), "template").withColumn("block", F.floor(F.col("pos") / F.col("n")))
+    hits = cut(hits.select("id", "template", "pos", "block", "term", "weight", "norm", "n"))
+    near = hits.select("id", "template", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), "term", "weight", "norm").distinct()
+    enough = near.groupBy("id", "template", "block").agg(F.sum(F.col("weight") * F.col("weight")).alias("most"), F.first("norm").alias("norm")).where(
+        F.col("most") >= THRESHOLD * THRESHOLD * F.col("norm") * F.col("norm") * (1 - 1e-9)).select("id", "template", "block")
+    starts = hits.join(enough, ["id", "template", "block"]).select("id", "template", "pos", "n").distinct()
+    return starts.join(placed, "id").select("path", F.array_join(F.expr("slice(w, pos + 1, n)"), " ").alias("line"), F.col("template").alias("only"))
 
 
 def headers(files: DataFrame, templates: DataFrame) -> DataFrame:
-    """(path, license, score): the best template of each file that has a line with cosine `THRESHOLD` or more to one."""
-    side, norms, anchors, outside = weights(files, templates)
+    """(path, license, score): the best template of each file that has a line, a run of words or, in a licence file, a whole
+    text with cosine `THRESHOLD` or more to one."""
+    held = frequencies(files)
+    side, norms, anchors, total = weights(files, templates, held)
     if not anchors:
         return files.sparkSession.createDataFrame([], "path string, license string, score double")
     some = F.array(*[F.lit(a) for a in anchors])
-    rows = files.where(F.arrays_overlap(terms(F.col("text")), some)).select("path", F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(terms(F.col("line")), some))
-    words = rows.distinct().select("path", "line", F.explode(terms(F.col("line"))).alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    texts = cut(files.where(F.arrays_overlap(terms(F.col("text")), some)).select("path", "text"))
+    lines = texts.select("path", F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(terms(F.col("line")), some))
+    whole = texts.where(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE)).select("path", F.col("text").alias("line"))
+    rows = lines.unionByName(whole).withColumn("only", F.lit("")).unionByName(_passages(texts, side, norms))
+    keys = ["path", "only", "own"]  # a line's words carry its key, not the line
+    words = rows.withColumn("own", F.xxhash64("line")).dropDuplicates(keys).select(*keys, F.explode(terms(F.col("line"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(side.select("term", "idf").distinct())  # the templates' vocabulary
-    weighed = cut(words.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(outside))))
-    length = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = weighed.join(F.broadcast(side.select("template", "license", "term", "weight")), "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(F.broadcast(norms), "template").join(length, ["path", "line"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6))
+    outside = F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weighed = cut(words.join(held, "term", "left").join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", outside)).drop("df"))
+    length = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    dots = weighed.join(F.broadcast(side.select("template", "license", "term", "weight")), "term").where("only in ('', template)").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scored = dots.join(F.broadcast(norms), "template").join(length, keys).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6))
     ranked = scored.where(F.col("score") >= THRESHOLD).groupBy("path", "license").agg(F.max("score").alias("score"))
     top = ranked.groupBy("path").agg(F.max("score").alias("score"))
     return ranked.join(top, ["path", "score"]).groupBy("path", "score").agg(F.min("license").alias("license")).select("path", "license", "score")

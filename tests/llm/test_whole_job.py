@@ -2,7 +2,7 @@
 
 import random
 
-from exprspark.llm import neardup
+from exprspark.llm import licenses, neardup
 
 
 def prose(seed: object, n: int) -> str:
@@ -34,3 +34,20 @@ def test_groups_joined_by_one_pair_are_one_component(spark):
     texts = [(1000 * case + i, text) for case, (a, b) in enumerate(cases) for i, text in enumerate(a + b)]
     got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 1000 * 1000) for i, _ in texts}
+
+
+def test_notices_inside_longer_lines_and_across_lines_are_headers(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    texts = [f"Foo Bar Baz. {notice}", f"Copyright 2020 Foo Bar. {notice}", f"{prose('before', 40)} {notice} {prose('after', 40)}", f"{prose('x', 9)} Licensed under the\nApache License,\nVersion 2.0. {prose('y', 9)}",
+             f"{prose('p', 30)} the version under {prose('q', 30)}"]
+    files = [(f"a/{i}.txt", t) for i, t in enumerate(texts)] + [(f"b/{i}.txt", prose(("file", i), 20)) for i in range(60)]
+    got = {r.path: (r.license, r.origin, r.score) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).where("path like 'a/%'").collect()}
+    assert got == {f"a/{i}.txt": ("Apache-2.0", "header", 1.0) for i in range(4)} | {"a/4.txt": (None, None, None)}
+
+
+def test_a_common_word_outside_the_templates_weighs_little(spark):
+    files = [("a/x.txt", "see Licensed under see the Apache License, see Version 2.0.")] + [(f"b/{i}.txt", f"see {prose(('file', i), 20)}") for i in range(60)]
+    frame = spark.createDataFrame(files, "path string, text string")
+    held = {r.term: r.df for r in licenses.frequencies(frame).collect()}
+    assert held["see"] == 61 and held["apache"] == 1
+    assert [r.score > 0.9 for r in licenses.scan(frame).where("path = 'a/x.txt'").collect()] == [True]
