@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text becomes template words: numbers, names and units are typed placeholders that keep their
-value, all else is lower-cased letters and digits. Blocks of template words are hash-joined with the
-windows of the benchmark; each hit gives an alignment of a document with an item, on which the words
+value, all else is lower-cased letters and digits. Windows of template words are hash-joined with the
+windows of the benchmark, all of either side; each hit gives an alignment of a document with an item, on which the words
 are compared one by one and the slot values checked for consistency.
 """
 
@@ -15,7 +15,8 @@ from exprspark.llm import common
 from exprspark.session import cut
 
 WINDOW = 6
-#: A window needs so many plain words to be keyed by its template; every window is keyed by its values too.
+#: An alignment needs so many plain words where values differ. A window is keyed by its template if it has one plain word, and by its
+#: values always: what has this many plain words has some in a keyed window.
 PLAIN = 4
 COVERAGE = 0.6
 #: Benchmark windows up to which they are broadcast (24 bytes each); more are joined by a shuffle.
@@ -25,21 +26,28 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg lb lbs
          "s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent degrees kmh mph usd eur dollar dollars cent cents "
          "euro euros meter meters metre metres gram grams kilogram kilograms kilometer kilometers w kw watt watts v volt volts").split()
 
-NUMBER, NAME, UNIT = "①", "②", "③"
+#: Capitalised words that are no names at the start of a sentence.
+OPENERS = ("The An If In On At It Is Are He She They We You This That These Those Each Every How What When Where Which Who Why There Then After Before And But Or So For From With To Of By As "
+           "His Her Their Our My Its All Some Many Most No Not Let Find One Two").split()
+
+NUMBER, NAME, UNIT, START = "①", "②", "③", "④"
+MARKS = NUMBER + NAME + UNIT + START
 
 
 def canonical(text: Column) -> Column:
     """Template words in their own case, joined by one space; a placeholder is its mark followed by its value.
 
-    A name is a word with one leading capital that follows another word of the same sentence; a unit is a listed
+    A name is a word with one leading capital that follows another word of the same sentence; at the start of a sentence such a
+    word may be a name or not, and has a mark of its own, which any such word meets; a unit is a listed
     word after a number. Numbers keep decimal signs as underscores. Marks that stand in a text are treated like its own.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?=\p{Lu})(?<=[^.!?\s]\s)\p{Lu}\p{Ll}[\p{L}\p{Nd}]*", f"{NAME}$0")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{Nd}}_{NAME}])(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{Nd}}_]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{Nd}}]*", f"{START}$0")
     n = F.regexp_replace(t, r"(?<=\p{Nd})[.,](?=\p{Nd})", "_")
     n = F.regexp_replace(n, r"(?=\p{Nd})(?<![\p{L}\p{Nd}_])(\p{Nd}[\p{Nd}_]*)(\p{L}{0,12})", f"{NUMBER}$1 $2")
     n = F.regexp_replace(n, rf"({NUMBER}[\p{{Nd}}_]+)\s+((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{Nd}}_])", f"$1 {UNIT}$2")
     t = F.when(t.rlike(r"\p{Nd}"), n).otherwise(t)
-    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{Nd}}_{NUMBER}{NAME}{UNIT}]+", " "))
+    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{Nd}}_{MARKS}]+", " "))
 
 
 def words(line: Column) -> Column:
@@ -48,12 +56,12 @@ def words(line: Column) -> Column:
 
 def template(line: Column) -> Column:
     """The canonical line without the values of its placeholders."""
-    return F.regexp_replace(line, rf"([{NUMBER}{NAME}{UNIT}])[\p{{L}}\p{{Nd}}_]*", "$1")
+    return F.regexp_replace(line, rf"([{MARKS}])[\p{{L}}\p{{Nd}}_]*", "$1")
 
 
 def values(line: Column) -> Column:
     """The canonical line without the marks of its placeholders."""
-    return F.regexp_replace(line, f"[{NUMBER}{NAME}{UNIT}]", "")
+    return F.regexp_replace(line, f"[{MARKS}]", "")
 
 
 def _lower(text: Column) -> Column:
@@ -61,14 +69,17 @@ def _lower(text: Column) -> Column:
 
 
 def document_windows(docs: DataFrame, short: list[int]) -> DataFrame:
-    """(text_key, pos, key) of each document's consecutive blocks of `WINDOW` words, by value and, where a text has placeholders,
+    """(text_key, pos, key) of all of each document's windows of `WINDOW` words, by value and, where a text has placeholders,
     by template too; and of all its windows of the lengths in `short`."""
     line = docs.select(common.text_key().alias("text_key"), canonical(F.col("text")).alias("line"))
-    marked = F.col("line").rlike(f"[{NUMBER}{NAME}{UNIT}]")
+    marked = F.col("line").rlike(f"[{MARKS}]")
     forms = F.when(marked, F.array(values(F.col("line")), template(F.col("line")))).otherwise(F.array("line"))
     each = line.select("text_key", F.explode(forms).alias("line"))
-    blocks = each.select("text_key", F.posexplode(F.regexp_extract_all("line", F.lit(f"(?:[^ ]+ ){{{WINDOW - 1}}}[^ ]+"), F.lit(0))).alias("n", "window"))
-    out = blocks.select("text_key", (F.col("n") * WINDOW).alias("pos"), F.xxhash64(_lower(F.col("window"))).alias("key"))
+    # without its first k words, a line's consecutive blocks are the windows that begin at k, k + WINDOW, ...
+    shifted = F.array("line", *[F.regexp_replace("line", f"^(?:[^ ]+ ){{{k}}}", "") for k in range(1, WINDOW)])
+    moved = each.select("text_key", F.posexplode(F.when(F.col("line").rlike(f"^(?:[^ ]+ ){{{WINDOW - 1}}}"), shifted)).alias("k", "line"))
+    blocks = moved.select("text_key", "k", F.posexplode(F.regexp_extract_all("line", F.lit(f"(?:[^ ]+ ){{{WINDOW - 1}}}[^ ]+"), F.lit(0))).alias("n", "window"))
+    out = blocks.select("text_key", (F.col("n") * WINDOW + F.col("k")).alias("pos"), F.xxhash64(_lower(F.col("window"))).alias("key"))
     for width in short:
         own = each.select("text_key", words(_lower(F.col("line"))).alias("w")).where(F.size("w") >= width)
         at = own.select("text_key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.array_join(F.slice("w", i, width), " "))).alias("pos", "window"))
@@ -77,7 +88,7 @@ def document_windows(docs: DataFrame, short: list[int]) -> DataFrame:
 
 
 def _mark(word: str) -> str:
-    return f"(left({word}, 1) in ('{NUMBER}', '{NAME}', '{UNIT}'))"
+    return f"(left({word}, 1) in ('{NUMBER}', '{NAME}', '{UNIT}', '{START}'))"
 
 
 def _arrays(line: Column) -> list[Column]:
@@ -95,7 +106,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = items.select("item", "tpl", "vals", "width", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("item_pos"))
     at = at.withColumn("own", F.expr("slice(tpl, item_pos + 1, width)"))
     plain = F.expr(f"size(filter(own, w -> not {_mark('w')}))")
-    templated = F.when(plain >= F.least(F.lit(PLAIN), F.col("width")), F.xxhash64(F.array_join("own", " ")))
+    templated = F.when(plain >= 1, F.xxhash64(F.array_join("own", " ")))
     by_value = F.xxhash64(F.array_join(F.expr("slice(vals, item_pos + 1, width)"), " "))
     return items, cut(at.select(F.explode(F.array_distinct(F.array_compact(F.array(templated, by_value)))).alias("key"), "item", "item_pos"))
 
@@ -106,13 +117,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is contained if at one alignment at least `COVERAGE` of its words are equal, as templates or as values, and the
     slots agree: equal item values stand for equal document values and different ones for different ones. Where fewer
-    than `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by a block of `WINDOW` words of
-    the document that equals a window at any place of the item, so every common run of 2 * WINDOW - 1 words is found;
-    items shorter than that are looked for at every place of the document. Null and empty texts contain nothing and are
+    than `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by a window of `WINDOW` words at any place of the document that
+    equals a window at any place of the item; an item shorter than that is one window. Null and empty texts contain nothing and are
     contained in nothing. Repeated rows count once.
     """
     items, keys = benchmark_windows(benchmark)
-    short = sorted(r["width"] for r in items.where(F.col("n") < 2 * WINDOW - 1).select("width").distinct().collect())  # at most WINDOW rows
+    short = sorted(r["width"] for r in items.where(F.col("n") < WINDOW).select("width").distinct().collect())  # at most WINDOW rows
     at = document_windows(docs, short)
     side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     found = cut(at.join(side, "key").select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
@@ -122,8 +132,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = texts.join(pairs, "text_key").withColumn("line", F.lower(canonical(F.col("text")))).select("doc_id", "text_key", "item_id", "at", "n", "iw", "it", "iv", words(template(F.col("line"))).alias("dt"), words(values(F.col("line"))).alias("dv"))
     both = cut(both)  # few rows; their words are made once
     both = both.select("doc_id", "text_key", "item_id", "at", "n", F.expr(
-        f"filter(transform(sequence(0, n - 1), i -> named_struct('i', iv[i], 'd', get(dv, at + i), 'typed', it[i] <=> get(dt, at + i), 'slot', {_mark('iw[i]')})), p -> p.typed or p.i <=> p.d)").alias("same"))
-    slots = F.expr("array_distinct(transform(filter(same, p -> p.slot and p.typed), p -> named_struct('i', p.i, 'd', p.d)))")
+        f"filter(transform(sequence(0, n - 1), i -> named_struct('i', iv[i], 'd', get(dv, at + i), 'typed', it[i] <=> get(dt, at + i), 'slot', {_mark('iw[i]')}, 'wild', left(iw[i], 1) = '{START}')), p -> p.typed or p.i <=> p.d)").alias("same"))
+    slots = F.expr("array_distinct(transform(filter(same, p -> p.slot and p.typed and not p.wild), p -> named_struct('i', p.i, 'd', p.d)))")
     judged = both.withColumn("pairs", slots).withColumn("matched", F.size("same")).withColumn("plain", F.expr("size(filter(same, p -> not p.slot))")).withColumn("differ", F.expr("size(filter(same, p -> p.i <> p.d))"))
     consistent = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.i))) and size(pairs) = size(array_distinct(transform(pairs, p -> p.d)))")
     good = judged.withColumn("coverage", F.col("matched") / F.col("n")).where((F.col("coverage") >= COVERAGE) & consistent & ((F.col("plain") >= F.least(F.lit(PLAIN), F.col("n"))) | (F.col("differ") == 0)))

@@ -2,7 +2,7 @@
 
 import random
 
-from exprspark.llm import licenses, neardup
+from exprspark.llm import decontam, licenses, neardup
 
 
 def prose(seed: object, n: int) -> str:
@@ -51,3 +51,26 @@ def test_a_common_word_outside_the_templates_weighs_little(spark):
     held = {r.term: r.df for r in licenses.frequencies(frame).collect()}
     assert held["see"] == 61 and held["apache"] == 1
     assert [r.score > 0.9 for r in licenses.scan(frame).where("path = 'a/x.txt'").collect()] == [True]
+
+
+def leaked(spark, texts: list[str], item: str) -> set[int]:
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id for r in decontam.leaks(frame, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+
+
+def test_renamed_items_are_found_at_every_offset(spark):
+    item = "Anna sold 48 clips to her friends. Anna gave 12 more to a teacher. Anna kept the rest of the box."
+    copy = "Boris sold 31 clips to her friends. Boris gave 17 more to a teacher. Boris kept the rest of the box."
+    texts = [f"{prose('before', k)} {copy} {prose('after', 9)}" for k in range(6)]
+    assert leaked(spark, [*texts, prose("other", 60)], item) == set(range(6))
+
+
+def test_short_common_runs_are_found_at_every_offset(spark):
+    item = "we take one bag of seven apples then they walk home by night and eat two of them with bread"
+    copy = item.replace("apples", "pears").replace("night", "noon")
+    assert leaked(spark, [f"{prose('b', k)} {copy}" for k in range(6)], item) == set(range(6))
+
+
+def test_items_dense_in_numbers_are_found(spark):
+    item = "x = 3 + 4 and y = 5 - 2 so z = 7 + 3"
+    assert leaked(spark, [f"{prose('b', k)} x = 13 + 14 and y = 15 - 12 so z = 17 + 13 {prose('c', 4)}" for k in range(6)], item) == set(range(6))
