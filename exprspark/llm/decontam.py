@@ -19,6 +19,10 @@ WINDOW = 6
 #: values always: what has this many plain words has some in a keyed window.
 PLAIN = 4
 COVERAGE = 0.6
+#: From this share of words equal as values, slots need not agree.
+VERBATIM = 0.9
+#: Hits whose offsets lie so many words apart are judged together: words may be inserted or missing between them.
+SHIFT = WINDOW
 #: Benchmark windows up to which they are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Words that count as units after a number.
@@ -119,24 +123,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots agree: equal item values stand for equal document values and different ones for different ones. Where fewer
     than `PLAIN` plain words agree, the values themselves must be equal. Alignments are found by a window of `WINDOW` words at any place of the document that
     equals a window at any place of the item; an item shorter than that is one window. Null and empty texts contain nothing and are
-    contained in nothing. Repeated rows count once.
+    contained in nothing. Hits of one item at most `SHIFT` words apart are one alignment, whose equal words are united. From `VERBATIM` of
+    equal words on, slots need not agree. Repeated rows count once.
     """
     items, keys = benchmark_windows(benchmark)
     short = sorted(r["width"] for r in items.where(F.col("n") < WINDOW).select("width").distinct().collect())  # at most WINDOW rows
     at = document_windows(docs, short)
     side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     found = cut(at.join(side, "key").select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("at")).distinct())
+    # each hit with those at offsets near its own
+    nearby = found.select("text_key", "item", F.explode(F.sequence(F.col("at") - SHIFT, F.col("at") + SHIFT)).alias("center"), "at").groupBy("text_key", "item", "center").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    found = nearby.where(F.array_contains("ats", F.col("center"))).withColumn("at", F.element_at("ats", 1)).select("text_key", "item", "at", "ats").distinct()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_key().alias("text_key"), "text")
     pairs = found.join(items.select("item", "item_id", F.col("words").alias("iw"), F.col("tpl").alias("it"), F.col("vals").alias("iv"), "n"), "item")
-    both = texts.join(pairs, "text_key").withColumn("line", F.lower(canonical(F.col("text")))).select("doc_id", "text_key", "item_id", "at", "n", "iw", "it", "iv", words(template(F.col("line"))).alias("dt"), words(values(F.col("line"))).alias("dv"))
+    both = texts.join(pairs, "text_key").withColumn("line", F.lower(canonical(F.col("text")))).select("doc_id", "text_key", "item_id", "at", "ats", "n", "iw", "it", "iv", words(template(F.col("line"))).alias("dt"), words(values(F.col("line"))).alias("dv"))
     both = cut(both)  # few rows; their words are made once
     both = both.select("doc_id", "text_key", "item_id", "at", "n", F.expr(
-        f"filter(transform(sequence(0, n - 1), i -> named_struct('i', iv[i], 'd', get(dv, at + i), 'typed', it[i] <=> get(dt, at + i), 'slot', {_mark('iw[i]')}, 'wild', left(iw[i], 1) = '{START}')), p -> p.typed or p.i <=> p.d)").alias("same"))
+        f"""filter(transform(sequence(0, n - 1), i -> named_struct('i', iv[i], 'd', coalesce(
+              try_element_at(filter(transform(ats, a -> get(dv, a + i)), d -> d <=> iv[i]), 1), get(dv, try_element_at(filter(ats, a -> it[i] <=> get(dt, a + i)), 1) + i)),
+            'typed', exists(ats, a -> it[i] <=> get(dt, a + i)), 'slot', {_mark('iw[i]')}, 'wild', left(iw[i], 1) = '{START}')), p -> p.typed or p.i <=> p.d)""").alias("same"))
     slots = F.expr("array_distinct(transform(filter(same, p -> p.slot and p.typed and not p.wild), p -> named_struct('i', p.i, 'd', p.d)))")
     judged = both.withColumn("pairs", slots).withColumn("matched", F.size("same")).withColumn("plain", F.expr("size(filter(same, p -> not p.slot))")).withColumn("differ", F.expr("size(filter(same, p -> p.i <> p.d))"))
     consistent = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.i))) and size(pairs) = size(array_distinct(transform(pairs, p -> p.d)))")
-    good = judged.withColumn("coverage", F.col("matched") / F.col("n")).where((F.col("coverage") >= COVERAGE) & consistent & ((F.col("plain") >= F.least(F.lit(PLAIN), F.col("n"))) | (F.col("differ") == 0)))
+    verbatim = (F.col("matched") - F.col("differ")) / F.col("n") >= VERBATIM
+    good = judged.withColumn("coverage", F.col("matched") / F.col("n")).where((F.col("coverage") >= COVERAGE) & (consistent | verbatim) & ((F.col("plain") >= F.least(F.lit(PLAIN), F.col("n"))) | (F.col("differ") == 0)))
     best = F.max_by(F.struct("at", "matched", F.col("n").alias("item_words"), "coverage", F.size("pairs").alias("slots"), (F.col("differ") == 0).alias("same_values")),
                     F.struct("matched", -F.col("differ"), -F.col("at")))
     return good.groupBy("doc_id", "text_key", "item_id").agg(best.alias("b")).select("doc_id", "text_key", "item_id", "b.*")

@@ -74,3 +74,9 @@ def test_short_common_runs_are_found_at_every_offset(spark):
 def test_items_dense_in_numbers_are_found(spark):
     item = "x = 3 + 4 and y = 5 - 2 so z = 7 + 3"
     assert leaked(spark, [f"{prose('b', k)} x = 13 + 14 and y = 15 - 12 so z = 17 + 13 {prose('c', 4)}" for k in range(6)], item) == set(range(6))
+
+
+def test_copies_with_an_inserted_word_or_one_odd_slot_are_found(spark):
+    item = "the baker sells 5 loaves every morning and the miller brings 7 sacks of flour and then both count 5 coins on the table"
+    texts = [item.replace("brings 7", "brings of course 7"), item.replace("brings 7 sacks", "brings sacks"), item.replace("count 5", "count 6"), item[: len(item) // 2]]
+    assert leaked(spark, texts, item) == {0, 1, 2}
