@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exprspark.llm import common, decontam, licenses, mixing, neardup, pii, secrets, sharding, tiff, tokens, toxicity
+from exprspark.llm import common, decontam, licenses, mixing, neardup, pii, secrets, shallot, sharding, tiff, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,33 @@ select doc_id, f.path, coalesce(own.license, dir_license) as license, case when
   own.score, case when own.license is null then a.dir end as license_dir
 from f left join own using (path) left join a using (path)
 """
+
+
+@query
+def op12_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five exact rounds."""
+    return shallot.cluster(common.table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql() -> str:
+    steps = [f"""c0 as materialized (select r - 1 as c, i, x from (select *, dense_rank() over (order by sha256('2:' || cast(vec_id as varchar))) as r from v) where r <= {shallot.CLUSTERS})"""]
+    for r in range(shallot.ROUNDS + 1):
+        steps.append(f"d{r} as (select vec_id, c, sum((v.x - k.x) * (v.x - k.x)) as d from v join c{r} k using (i) group by 1, 2)")
+        steps.append(f"a{r} as materialized (select vec_id, arg_min(c, (d, c)) as c, min(d) as d from d{r} group by 1)")
+        if r < shallot.ROUNDS:
+            steps.append(f"""m{r} as (select c, i, sum(x)::hugeint as s, count(*) as n from a{r} join v using (vec_id) group by 1, 2)""")
+            steps.append(f"""c{r + 1} as materialized (select k.c, k.i, case when n is null then k.x else s // n - case when s % n < 0 then 1 else 0 end end as x from c{r} k left join m{r} m on k.c = m.c and k.i = m.i)""")
+    n = shallot.ROUNDS
+    return f"""
+with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+v as materialized (select vec_id, unnest(range(64)) as i, unnest(q) as x from e),
+{", ".join(steps)},
+s as (select c, sha256(string_agg(cast(x::bigint as varchar), ',' order by i)) as h from c{n} group by 1),
+t as (select c, sum(d)::bigint as ci from a{n} group by 1)
+select vec_id, c::int as cluster, d::bigint as distance, ci as cluster_inertia, (select sum(d)::bigint from a{n}) as inertia, h as centroid_sha256
+from a{n} join s using (c) join t using (c)
+"""
+
+
+ORACLES["op12_shallot_clusters"] = _cluster_sql()
