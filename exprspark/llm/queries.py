@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exprspark.llm import common, decontam, licenses, mixing, neardup, pii, secrets, shallot, sharding, tiff, tokens, toxicity
+from exprspark.llm import common, decontam, dualtree, licenses, mixing, neardup, pii, secrets, shallot, sharding, tiff, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,21 @@ from a{n} join s using (c) join t using (c)
 
 
 ORACLES["op12_shallot_clusters"] = _cluster_sql()
+
+
+@query
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return dualtree.ranked_search(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_dual_tree_search"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+s as (select count(*) as total, sum(len(ws))::bigint as length from d where len(ws) > 0),
+f as (select r, doc_id, t, count(*) as tf from (select r, doc_id, unnest(ws) as t from d) where t in (select t from q) group by 1, 2, 3),
+w as (select t, floor(1000 * ln((2 * total + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, s group by t, total),
+m as (select r, 10 + (90 * len(ws) * total) // length as m from d, s),
+x as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join w using (t) join f using (t) join m using (r) group by 1, 2, 3)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from x where score > 0) where rank <= 10
+"""
