@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from exprspark.llm import common, decontam, dualtree, licenses, mixing, neardup, pii, secrets, shallot, sharding, tiff, tokens, toxicity
+from exprspark.llm import common, decontam, dualtree, licenses, mixing, neardup, packing, pii, secrets, shallot, sharding, tiff, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +168,10 @@ m as (select r, 10 + (90 * len(ws) * total) // length as m from d, s),
 x as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join w using (t) join f using (t) join m using (r) group by 1, 2, 3)
 select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from x where score > 0) where rank <= 10
 """
+
+
+@query
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 4096."""
+    pieces = packing.pack(packing.encode(common.documents(spark, sf_dir)))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "loss")
