@@ -10,10 +10,12 @@ power-of-two lengths, which need no padding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from unicodedata import normalize
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,15 @@ from exprspark.llm import common
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 2
 POOL, POOL_BYTES = 2048, 16 << 20
-#: Words whose ids a Python worker remembers, 100 bytes each.
-REMEMBERED = 400_000
+#: Words of a generation whose ids a Python worker remembers, 250 bytes each.
+REMEMBERED = 150_000
+SLICE_BYTES = 3 << 20
 PIECES = "doc_id bigint, start bigint, length bigint, loss bigint, ids binary, doc_tokens bigint, sequence_id bigint, segment int, offset bigint"
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
 @dataclass(frozen=True)
 class Limits:
     """Room of one sequence."""
@@ -46,42 +52,60 @@ class Limits:
 
 
 class Words:
-    """Ids of texts, word by word: no token crosses ASCII white space, so each distinct word is encoded once.
+    """Ids of UTF-8 texts, word by word: no token crosses ASCII white space, so each distinct word is encoded once.
 
-    ASCII capitals are lowered first and sentence marks behind a letter are encoded apart, as the vocabulary's own rules do; texts
-    with the opening of a special token are left to the tokenizer whole.
+    ASCII capitals are lowered first and sentence marks behind a letter are encoded apart, as the vocabulary's own rules do; words of
+    letters alone go to the tokenizer's model at once. Texts with the opening of a special token are left to the
+    tokenizer whole. Two generations of words are remembered.
     """
 
-    SPREAD = str.maketrans({c: " " for c in "\t\n\v\f\r"} | {chr(65 + k): chr(97 + k) for k in range(26)})
     MARKS = ".,;:!?"
+    #: Scripts with letters that count as such under every Unicode version in use: Latin, Greek, Cyrillic.
+    PLAIN = "\u0530"
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for 256, 257, ... in order
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = sorted(set(range(256)) - set(visible))
+        self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def _text(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word without ASCII capitals and white space."""
+        if word.isalpha():
+            mapped = word
+            if not word.isascii():
+                small = word.lower()
+                plain = max(word) < self.PLAIN and "Σ" not in word and small.isalpha() and is_normalized("NFC", word) and is_normalized("NFC", small)
+                mapped = small.encode().decode("latin-1").translate(self.alphabet) if plain else None
+            if mapped:
+                return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        core = word.rstrip(self.MARKS)
+        if core and core != word and normalize("NFC", core[-1].lower()).isalpha():  # stays a letter
+            return self._remember(core.encode()) + self._remember(word[len(core):].encode())
+        return self._text(word)
+
+    def _remember(self, word: bytes) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.known[word] = self.older.get(word) or self._word(word.decode())
+        return ids
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
-        split = [None if "<|" in text else text.translate(self.SPREAD).split(" ") for text in texts]
-        parts: dict[str, tuple[str, str]] = {}
-        plain: set[str] = set()
-        for word in {w for words in split for w in words or () if w not in known}:
-            core = word.rstrip(self.MARKS)
-            if core and core != word and normalize("NFC", core[-1].lower()).isalpha():  # stays a letter
-                parts[word] = (core, word[len(core):])
-                plain.update(parts[word])
-            else:
-                plain.add(word)
-        missing = [w for w in plain if w not in known]
-        known.update(zip(missing, self._encode(missing)))
-        known.update((word, known[a] + known[b]) for word, (a, b) in parts.items())
-        return [self._encode([text])[0] if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split)]
+            self.known, self.older = {}, self.known
+        split = [None if b"<|" in text else text.lower().split() for text in texts]
+        remember = self._remember
+        mine = {word: remember(word) for word in set().union(*(words for words in split if words))}
+        return [self._text(text.decode()) if words is None else b"".join(map(mine.__getitem__, words)) for text, words in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
@@ -89,23 +113,31 @@ def _words(vocabulary: str) -> Words:
     return Words(vocabulary)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), loss_from of every row: the text's ids, then `end`; a null text is empty.
-
-    Loss is borne from the second token on, since nothing precedes the first.
-    """
+def _encoder(docs: DataFrame, vocabulary: str, end: int) -> Callable[[Batches], Batches]:
     with open(vocabulary, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     stop = np.asarray([end], "<u4").tobytes()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         words = _words(shared.value)
         for batch in batches:
-            for part in common.slices(batch):
-                ids = [x + stop for x in words([t or "" for t in part.column("text").to_pylist()])]
+            for part in common.slices(batch, limit=SLICE_BYTES):
+                ids = [x + stop for x in words(common.encoded(part.column("text")))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int64())], names=["doc_id", "ids", "loss_from"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, ids binary, loss_from bigint")
+    return work
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit), loss_from of every row: the text's ids, then `end`; a null text is empty.
+
+    Loss is borne from the second token on, since nothing precedes the first.
+    """
+    return _texts(docs).mapInArrow(_encoder(docs, vocabulary, end), "doc_id bigint, ids binary, loss_from bigint")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 Piece = tuple[int, int, int]  # example, start, length
@@ -206,16 +238,8 @@ def powers(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Pieces of every row of examples (doc_id, ids, loss_from): doc_id, start, length, loss, ids, doc_tokens, sequence_id, segment, offset.
-
-    ids are little-endian unsigned 32-bit token ids, loss_from is the first loss-bearing one (null: none is). Each id lies in exactly
-    one piece; no sequence exceeds a limit. Rows are packed one by one, so repeated rows and ids repeat; an example
-    without ids (null or empty) has no piece. Other columns are ignored. Of a task only the last sequence is short because nothing
-    is left; one may also be short where another limit is reached first.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packer(limits: Limits) -> Callable[[Batches], Batches]:
+    def work(batches: Batches) -> Batches:
         packer = Packer(limits)
         held: dict[int, tuple[int | None, bytes, int]] = {}
         open_: dict[int, int] = {}  # tokens of an example not yet placed
@@ -245,8 +269,8 @@ def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 ready.clear()
                 shipped = 0
 
-        for batch in batches:
-            for doc_id, ids, loss_from in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "loss_from"))):
+        for part in (p for batch in batches for p in common.slices(batch, "ids", SLICE_BYTES)):
+            for doc_id, ids, loss_from in zip(*(part.column(c).to_pylist() for c in ("doc_id", "ids", "loss_from"))):
                 n = len(ids or b"") // 4
                 if not n:
                     continue
@@ -270,4 +294,22 @@ def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return examples.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids", F.col("loss_from").cast("bigint").alias("loss_from")).mapInArrow(work, PIECES)
+    return work
+
+
+def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Pieces of every row of examples (doc_id, ids, loss_from): doc_id, start, length, loss, ids, doc_tokens, sequence_id, segment, offset.
+
+    ids are little-endian unsigned 32-bit token ids, loss_from is the first loss-bearing one (null: none is). Each id lies in exactly
+    one piece; no sequence exceeds a limit. Rows are packed one by one, so repeated rows and ids repeat; an example
+    without ids (null or empty) has no piece. Other columns are ignored. Of a task only the last sequence is short because nothing
+    is left; one may also be short where another limit is reached first. An empty table gives no rows.
+    """
+    rows = examples.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids", F.col("loss_from").cast("bigint").alias("loss_from"))
+    return rows.mapInArrow(_packer(limits), PIECES)
+
+
+def pack_texts(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+    """pack(encode(docs)) in one pass, without token ids on their way through Spark twice."""
+    encoder, packer = _encoder(docs, vocabulary, end), _packer(limits)
+    return _texts(docs).mapInArrow(lambda batches: packer(encoder(batches)), PIECES)

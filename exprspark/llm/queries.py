@@ -173,5 +173,5 @@ select item_id, rank::int as rank, doc_id, score from (select *, row_number() ov
 @query
 def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 4096."""
-    pieces = packing.pack(packing.encode(common.documents(spark, sf_dir)))
+    pieces = packing.pack_texts(common.documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "loss")

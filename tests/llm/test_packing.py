@@ -32,10 +32,10 @@ ODD = ["", " \n ", "DON'T we'll x's 12345 …!? <|endoftext|>abc <|ENDOFTEXT|>",
 
 def test_ids_equal_the_tokenizers(tokenizer):
     rng = random.Random(4)
-    texts = ODD + ["".join(rng.choice("aB é.,'!?\n\t0ñ<|-ßİ̈") for _ in range(60)) for _ in range(300)]
+    texts = ODD + ["".join(rng.choice("aB é.,'!?\n\t0ñ<|-ßİ̈\u0958ΣσK日ªж") for _ in range(60)) for _ in range(300)]
     words = packing.Words(tokenizer.to_str())
     for part in (texts[:50], texts[50:], texts):  # the last time from memory
-        assert [np.frombuffer(x, "<u4").tolist() for x in words(part)] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words([t.encode() for t in part])] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
 def test_documents_round_trip(spark, tokenizer):
