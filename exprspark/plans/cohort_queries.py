@@ -299,11 +299,32 @@ def _(v):
     return show(nb_result(v).select("feature_id", "base_mean", "effect", "statistic", "p_value"))
 
 
+@query("de_nb_shrink")
+def _(v):
+    enc, contrast = region_counts_design(v)
+    return show(N.nb_wald(v.counts, enc, cohort_factors(v), contrast, shrink=True).select("feature_id", "base_mean", "effect", "standard_error", "p_value"))
+
+
+PLANTED = 1_000_000
+
+
+@query("de_nb_cooks", sql=f"""select cast(l_partkey as varchar) as feature_id, cast(min(l_suppkey) as varchar) as sample_id, {PLANTED}.0::double as value, true as replaced
+ from lineitem where l_partkey % 97 = 0 group by l_partkey""")
+def _(v):
+    """A wild count in the first sample of every 97th feature: each is found, and replaced in a region of seven suppliers or more."""
+    number, sample = F.col("feature_id").cast("bigint"), F.col("sample_id").cast("bigint")
+    first = v.counts.where(number % 97 == 0).groupBy("feature_id").agg(F.min(sample).alias("_first"))
+    wild = v.counts.join(first, "feature_id", "left").withColumn("value", F.when(sample == F.col("_first"), F.lit(float(PLANTED))).otherwise(F.col("value").cast("double"))).drop("_first")
+    enc, _ = region_counts_design(v)
+    found = N.count_outliers(wild, enc, cohort_factors(v)).where(F.col("value") >= PLANTED)
+    return found.select("feature_id", "sample_id", "value", F.col("replacement").isNotNull().alias("replaced"))
+
+
 @query("de_nb_qlf")
 def _(v):
     enc, contrast = region_counts_design(v)
     libraries = v.counts.groupBy("sample_id").agg(F.sum("value").alias("size"))
-    return show(N.nb_qlf(v.counts, enc, libraries, contrast).select("feature_id", "mean", "effect", "statistic", "p_value"))
+    return show(N.nb_qlf(v.counts, enc, libraries, contrast).select("feature_id", "mean", "effect", "df_prior", "statistic", "p_value"))
 
 
 # a result table with exact arithmetic, so the later steps have a counterpart in SQL

@@ -544,7 +544,7 @@ def _(v):
     return T.fraction_findings(wide, v.counts.select("sample_id").distinct())
 
 
-@query("src_fractions", "d_estimates", sql="select sample_id, population as cell_type_id, round(coalesce(value, 0), 6) as value from (select distinct run || '-' || sample_id as sample_id from d_estimates), (select unnest(['F', 'O']) as population) left join (select run || '-' || sample_id as sample_id, population, value from d_estimates) using (sample_id, population)")
+@query("src_fractions", "d_estimates", sql="select sample_id, population as cell_type_id, round(coalesce(value, 0), 6) as value from (select sample_id, population from (select distinct run || '-' || sample_id as sample_id from d_estimates) cross join (select unnest(['F', 'O']) as population)) left join (select run || '-' || sample_id as sample_id, population, value from d_estimates) using (sample_id, population)")
 def _(v):
     one = v.estimates.withColumn("sample_id", F.concat_ws("-", "run", "sample_id"))
     wide = one.groupBy(F.col("sample_id").alias("Mixture")).pivot("population", ["F", "O"]).agg(F.first("value")).na.fill(0.0).withColumn("RMSE", F.lit(0.5))
