@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from exprspark.functions.draws import draw, draw_wide
 from exprspark.functions.ordering import one_row, row_numbers
 from exprspark.functions.text import is_missing
+from exprspark.operators import folds as R
 from exprspark.operators.matrix import feature_moments
 from exprspark.operators.metrics import binary_metrics, logistic_line, multiclass_metrics, ranking_metrics, score_counts, youden
 from exprspark.operators.predict import model_digests, sigmoid
@@ -231,6 +232,10 @@ def _score_by(pred: DataFrame, by: list[str], metric: str) -> dict:
 def tune(cells: DataFrame, labels: DataFrame, config: Config, seed: int) -> tuple[tuple[float, float], DataFrame]:
     """Best (C, ratio) over inner folds, and its inner decisions (sample_id, y, decision). A later
     candidate must be better by more than 1e-12."""
+    cohort = R.gather(cells, labels) if config.metric in R.METRICS else None
+    if cohort is not None:
+        fit = cut(R.run(cells, cohort, config, 2, whole=True, seed=seed))
+        return config.candidates[fit.first()["candidate"]], fit.select(F.explode("decisions").alias("x")).select("x.*")
     folds = cut(assign_folds(labels, config.inner_folds, 1, seed))
     tasks, prepared = [], []
     for fold in range(1, config.inner_folds + 1):
@@ -286,7 +291,10 @@ def _coefficients(model, prepared: Prepared) -> DataFrame:
 
 def nested_cv(cells: DataFrame, labels: DataFrame, config: Config, fold_labels: DataFrame | None = None) -> Validation:
     """Repeated outer folds; inside each, tuning, calibration, threshold and the fit see training
-    samples only. `fold_labels` fixes the folds when `labels` are permuted."""
+    samples only. `fold_labels` fixes the folds when `labels` are permuted. A cohort small enough to be broadcast is fitted
+    one outer fold a task, any other by distributed fits; the folds and the optima are the same."""
+    if fold_labels is None and config.metric in R.METRICS and (cohort := R.gather(cells, labels)) is not None:
+        return _nested_in_tasks(cells, labels, cohort, config)
     cells = cut(cells)
     assigned = cut(assign_folds(fold_labels if fold_labels is not None else labels, config.outer_folds, config.repeats, config.seed))
     if not check_leakage(assigned).isEmpty():
@@ -298,7 +306,7 @@ def nested_cv(cells: DataFrame, labels: DataFrame, config: Config, fold_labels:
             here = placed.where(F.col("repeat") == repeat)
             train, test = here.where(F.col("fold") != fold), here.where(F.col("fold") == fold)
             train_labels = cut(train.select("sample_id", "y", "group"))
-            (c, ratio), decisions = tune(cells, train_labels, config, config.seed + 10_000 + repeat * config.outer_folds + fold)
+            (c, ratio), decisions = tune(cells, train_labels, config, R.seed_of(config.seed, "inner", repeat, fold))
             line = fit_calibrator(decisions) if config.calibrate else None
             threshold = 0.5
             if config.tune_threshold:
@@ -318,6 +326,19 @@ def nested_cv(cells: DataFrame, labels: DataFrame, config: Config, fold_labels:
     return out
 
 
+def _nested_in_tasks(cells: DataFrame, labels: DataFrame, cohort: R.Cohort, config: Config) -> Validation:
+    fits = cut(R.run(cells, cohort, config, 2))
+    own = fits.select("repeat", "fold", "threshold", F.explode("predictions").alias("x")).select("repeat", "fold", "threshold", "x.sample_id", "x.y", F.col("x.chance")[0].alias("p"))
+    predictions = own.join(labels.select("sample_id", F.col("group").cast("string").alias("group")), "sample_id").select(
+        "repeat", "fold", "sample_id", "group", "y", "p", (F.col("p") >= F.col("threshold")).alias("predicted"))
+    coefficients = fits.select("repeat", "fold", F.explode("coefficients").alias("x")).select("repeat", "fold", "x.feature_id", (F.col("x.values")[0]).alias("coefficient"))
+    records = [Fold(r["repeat"], r["fold"], *config.candidates[r["candidate"]], r["threshold"]) for r in fits.select("repeat", "fold", "candidate", "threshold").orderBy("repeat", "fold").collect()]
+    out = Validation(predictions, coefficients, records)
+    if not check_oof(out.predictions, labels, config.repeats).isEmpty():
+        raise ValueError("Every sample needs exactly one out-of-fold prediction per repeat.")
+    return out
+
+
 def stability(coefficients: DataFrame, folds: int) -> DataFrame:
     """How often a feature was selected and kept, and its mean coefficient."""
     return coefficients.groupBy("feature_id").agg(
@@ -348,16 +369,45 @@ def permute_labels(labels: DataFrame, seed: int, permutation: int) -> DataFrame:
     return labels.select("sample_id", "group").join(swapped.select("sample_id", "y"), "sample_id").select("sample_id", "y", "group")
 
 
-def permutation_control(cells: DataFrame, labels: DataFrame, config: Config, permutations: int, observed_auc: float) -> DataFrame:
-    """The whole validation again on permuted labels, on the original folds: (permutation, roc_auc,
-    empirical_p_value)."""
-    values = []
+def permutation_control(cells: DataFrame, labels: DataFrame, config: Config, permutations: int) -> DataFrame:
+    """The whole validation, as it is and on permuted labels over the original folds: (permutation, roc_auc, observed_roc_auc,
+    empirical_p_value). Every permuted outer fold is a row of one job; beyond the size that is broadcast the
+    permutations are validated one after another by distributed fits."""
+    cohort = R.gather(cells, labels) if config.metric in R.METRICS else None
+    if cohort is not None:
+        chance = F.explode("predictions").alias("x")
+        pooled = R.run(cells, cohort, config, 2, permutations).select("permutation", chance).select("permutation", "x.y", F.col("x.chance")[0].alias("p"))
+        return _against_observed(ranking_metrics(score_counts(cut(pooled), ["permutation"]), ["permutation"]), "roc_auc", permutations)
+    parts = [nested_cv(cells, labels, config).predictions.select(F.lit(-1).alias("permutation"), "y", "p")]
     for permutation in range(permutations):
-        permuted = cut(permute_labels(labels, config.seed + 80_000, permutation))
-        result = nested_cv(cells, permuted, replace(config, seed=config.seed), fold_labels=labels)
-        values.append((permutation, ranking_metrics(score_counts(result.predictions)).first()["roc_auc"]))
-    p = (1 + sum(v >= observed_auc for _, v in values)) / (permutations + 1)
-    return cells.sparkSession.createDataFrame([(i, float(v), float(p)) for i, v in values], "permutation int, roc_auc double, empirical_p_value double")
+        permuted = cut(permute_labels(labels, R.seed_of(config.seed, "permute"), permutation))
+        parts.append(nested_cv(cells, permuted, config, fold_labels=labels).predictions.select(F.lit(permutation).alias("permutation"), "y", "p"))
+    return _against_observed(ranking_metrics(score_counts(union_all(parts), ["permutation"]), ["permutation"]), "roc_auc", permutations)
+
+
+def _against_observed(scores: DataFrame, metric: str, permutations: int) -> DataFrame:
+    """Each permutation's score beside the observed one (permutation -1) and the share that reaches it."""
+    scores = cut(scores.select("permutation", metric))
+    observed = scores.where("permutation = -1").select(F.col(metric).alias(f"observed_{metric}"))
+    beside = one_row(scores.where("permutation >= 0"), observed)
+    reached = beside.agg(((1 + F.count_if(F.col(metric) >= F.col(f"observed_{metric}"))) / F.lit(permutations + 1)).alias("empirical_p_value"))
+    return one_row(beside, reached)
+
+
+def permutation_control_multiclass(cells: DataFrame, labels: DataFrame, config: Config, permutations: int) -> DataFrame:
+    """The same for several classes: (permutation, macro_roc_auc, observed_macro_roc_auc, empirical_p_value)."""
+    classes, coded = _coded(labels)
+    cohort = R.gather(cells, coded)
+    if cohort is not None:
+        long = _long_rows(R.run(cells, cohort, _multiclass(config), len(classes), permutations), classes)
+    else:
+        parts = [nested_cv_multiclass(cells, labels, config)[0].withColumn("permutation", F.lit(-1))]
+        names = F.array(*[F.lit(c) for c in classes])
+        for permutation in range(permutations):
+            permuted = cut(permute_labels(coded, R.seed_of(config.seed, "permute"), permutation)).withColumn("y", F.get(names, F.col("y").cast("int")))
+            parts.append(nested_cv_multiclass(cells, permuted, config, fold_labels=labels)[0].withColumn("permutation", F.lit(permutation)))
+        long = union_all(parts)
+    return _against_observed(multiclass_metrics(cut(long.drop("group")), ["permutation"]), "macro_roc_auc", permutations)
 
 
 def learning_curve(cells: DataFrame, labels: DataFrame, validation: Validation, config: Config, fractions: Sequence[float] = (0.5, 0.75, 1.0)) -> DataFrame:
@@ -405,10 +455,10 @@ def compare_models(cells: DataFrame, labels: DataFrame, config: Config, grids: d
             for fold in range(1, config.outer_folds + 1):
                 here = assigned.where(F.col("repeat") == repeat)
                 train, test = cut(here.where(F.col("fold") != fold).select("sample_id", "y", "group")), here.where(F.col("fold") == fold)
-                seed = config.seed + 140_000 + repeat * 100 + fold
+                seed = R.seed_of(config.seed, "trees", repeat, fold)
                 best = grid[0] if len(grid) == 1 else _tune_tree(cells, train, config, algorithm, grid, seed)
                 p = prepare_fold(cells, _rows(train), _rows(test), config.features, config.balanced)
-                model = _tree(algorithm, best, seed + 5_000).fit(p.train)
+                model = _tree(algorithm, best, R.seed_of(seed, "fit")).fit(p.train)
                 out.append(cut(model.transform(p.test).select(
                     F.lit(algorithm).alias("method"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))))
                 _release([p])
@@ -424,7 +474,7 @@ def _tune_tree(cells: DataFrame, train: DataFrame, config: Config, algorithm: st
         prepared.append(p)
         for index, parameters in enumerate(grid):
             def job(p=p, index=index, parameters=parameters, fold=fold):
-                model = _tree(algorithm, parameters, seed + index * 100 + fold).fit(p.train)
+                model = _tree(algorithm, parameters, R.seed_of(seed, "tune", index, fold)).fit(p.train)
                 return model.transform(p.test).select(F.lit(index).alias("candidate"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
 
             tasks.append(job)
@@ -437,17 +487,39 @@ def _tune_tree(cells: DataFrame, train: DataFrame, config: Config, algorithm: st
 # ---- several classes
 
 
-def nested_cv_multiclass(cells: DataFrame, labels: DataFrame, config: Config) -> tuple[DataFrame, list[Fold]]:
-    """(long out-of-fold class probabilities, tuned folds); y holds class names."""
+def _coded(labels: DataFrame) -> tuple[list[str], DataFrame]:
+    """(class names in order, labels with y = 0, 1, ...)."""
     classes = [r[0] for r in labels.select(F.col("y").cast("string")).distinct().orderBy("y").collect()]  # 3 to 20
-    coded = labels.withColumn("y", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("string")) - 1)
-    assigned = cut(assign_folds(coded, config.outer_folds, config.repeats, config.seed))
+    return classes, labels.withColumn("y", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("string")) - 1).cast("int"))
+
+
+def _multiclass(config: Config) -> Config:
+    return config if config.metric in ("macro_roc_auc", "macro_f1", "balanced_accuracy") else replace(config, metric="macro_roc_auc")
+
+
+def _long_rows(fits: DataFrame, classes: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in classes])
+    rows = fits.select("permutation", "repeat", "fold", F.explode("predictions").alias("x")).select("permutation", "repeat", "fold", "x.sample_id", F.get(names, F.col("x.y")).alias("observed"), F.posexplode("x.chance").alias("_i", "probability"))
+    return rows.select("permutation", "repeat", "fold", "sample_id", F.lit(None).cast("string").alias("group"), "observed", F.get(names, F.col("_i")).alias("class"), "probability")
+
+
+def nested_cv_multiclass(cells: DataFrame, labels: DataFrame, config: Config, fold_labels: DataFrame | None = None) -> tuple[DataFrame, list[Fold]]:
+    """(long out-of-fold class probabilities, tuned folds); y holds class names."""
+    classes, coded = _coded(labels)
+    cohort = R.gather(cells, coded) if fold_labels is None else None
+    if cohort is not None:
+        fits = cut(R.run(cells, cohort, _multiclass(config), len(classes)))
+        long = _long_rows(fits, classes).drop("permutation", "group").join(labels.select("sample_id", F.col("group").cast("string").alias("group")), "sample_id")
+        records = [Fold(r["repeat"], r["fold"], *config.candidates[r["candidate"]], 0.5) for r in fits.select("repeat", "fold", "candidate").orderBy("repeat", "fold").collect()]
+        return long.select("repeat", "fold", "sample_id", "group", "observed", "class", "probability"), records
+    placed = assign_folds(_coded(fold_labels)[1] if fold_labels is not None else coded, config.outer_folds, config.repeats, config.seed)
+    assigned = cut(placed.select("repeat", "sample_id", "fold").join(coded.select("sample_id", "y", "group"), "sample_id"))
     out, records = [], []
     for repeat in range(1, config.repeats + 1):
         for fold in range(1, config.outer_folds + 1):
             here = assigned.where(F.col("repeat") == repeat)
             train, test = cut(here.where(F.col("fold") != fold).select("sample_id", "y", "group")), here.where(F.col("fold") == fold)
-            c, ratio = _tune_multiclass(cells, train, config, classes, config.seed + 10_000 + repeat * config.outer_folds + fold)
+            c, ratio = _tune_multiclass(cells, train, config, classes, R.seed_of(config.seed, "inner", repeat, fold))
             p = prepare_fold(cells, _rows(train), _rows(test), config.features, config.balanced)
             model = fit_enet(p, c, ratio, "multinomial")
             out.append(cut(_long_probabilities(model, p.test, classes).select(F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "*")))
@@ -498,7 +570,7 @@ class LockedModel:
 
 def lock_model(cells: DataFrame, labels: DataFrame, config: Config, negative: str = "negative", positive: str = "positive") -> LockedModel:
     """Tune, calibrate and fit once on the whole cohort."""
-    (c, ratio), decisions = tune(cells, labels, config, config.seed + 120_000)
+    (c, ratio), decisions = tune(cells, labels, config, R.seed_of(config.seed, "inner", 0, 0))
     line = fit_calibrator(decisions) if config.calibrate else None
     threshold = 0.5
     if config.tune_threshold:
@@ -513,9 +585,17 @@ def lock_model(cells: DataFrame, labels: DataFrame, config: Config, negative: st
 
 
 def lock_model_multiclass(cells: DataFrame, labels: DataFrame, config: Config) -> LockedModel:
-    classes = [r[0] for r in labels.select(F.col("y").cast("string")).distinct().orderBy("y").collect()]  # 3 to 20
-    coded = cut(labels.withColumn("y", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("string")) - 1))
-    c, ratio = _tune_multiclass(cells, coded, config, classes, config.seed + 120_000)
+    """Tune and fit several classes once on the whole cohort; y holds class names."""
+    classes, coded = _coded(labels)
+    coded = cut(coded)
+    cohort = R.gather(cells, coded)
+    if cohort is not None:
+        fit = cut(R.run(cells, cohort, _multiclass(config), len(classes), whole=True))
+        one = fit.select("candidate", "intercepts").first()
+        table = fit.select(F.explode("coefficients").alias("x")).select("x.feature_id", "x.mean", F.col("x.sd").alias("scale"), F.posexplode("x.values").alias("_i", "coefficient"))
+        table = cut(table.select("feature_id", "mean", "scale", F.get(F.array(*[F.lit(c) for c in classes]), F.col("_i")).alias("class"), "coefficient"))
+        return _locked(table, classes, list(one["intercepts"]), None, 0.5, *config.candidates[one["candidate"]])
+    c, ratio = _tune_multiclass(cells, coded, config, classes, R.seed_of(config.seed, "inner", 0, 0))
     p = prepare_fold(cells, _rows(coded), _rows(coded), config.features, config.balanced)
     model = fit_enet(p, c, ratio, "multinomial")
     matrix = model.coefficientMatrix.toArray()

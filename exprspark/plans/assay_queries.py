@@ -216,7 +216,10 @@ def _(v):
 
 # ---- fitted classifiers on the embedding matrix
 
-SMALL = C.Config(features=32, outer_folds=2, inner_folds=2, repeats=1, seed=4, candidates=[(0.05, 0.5), (0.5, 0.0)])
+#: All features, five outer and four inner folds, nine candidates.
+WHOLE = C.Config(features=64, repeats=1, seed=4)
+#: Tree models are compared on fewer folds and one candidate a method.
+SMALL = C.Config(features=32, outer_folds=2, inner_folds=2, repeats=1, seed=4)
 
 
 def embed_labels(v) -> DataFrame:
@@ -239,17 +242,17 @@ def _(v):
 
 @query("clf_nested_cv")
 def _(v):
-    return show(C.nested_cv(v.embed, embed_labels(v), SMALL).predictions)
+    return show(C.nested_cv(v.embed, embed_labels(v), C.replace(WHOLE, repeats=3)).predictions)
 
 
 @query("clf_stability")
 def _(v):
-    return show(C.stability(C.nested_cv(v.embed, embed_labels(v), SMALL).coefficients, 2))
+    return show(C.stability(C.nested_cv(v.embed, embed_labels(v), C.replace(WHOLE, repeats=3)).coefficients, 15))
 
 
 @query("clf_tune")
 def _(v):
-    (c, ratio), decisions = C.tune(v.embed, embed_labels(v), SMALL, 4)
+    (c, ratio), decisions = C.tune(v.embed, embed_labels(v), WHOLE, 4)
     line = C.fit_calibrator(decisions)
     return decisions.agg(F.count(F.lit(1)).alias("samples")).withColumn("c", F.lit(c)).withColumn("l1_ratio", F.lit(ratio)).withColumn(
         "calibration_slope", F.lit(round(line[1], 6)))
@@ -257,13 +260,12 @@ def _(v):
 
 @query("clf_permutation_control")
 def _(v):
-    return show(C.permutation_control(v.embed, embed_labels(v), C.replace(SMALL, candidates=[(0.5, 0.5)]), 1, 0.6))
+    return show(C.permutation_control(v.embed, embed_labels(v), WHOLE, 100))
 
 
 @query("clf_learning_curve")
 def _(v):
-    config = C.replace(SMALL, candidates=[(0.5, 0.5)])
-    return show(C.learning_curve(v.embed, embed_labels(v), C.nested_cv(v.embed, embed_labels(v), config), config))
+    return show(C.learning_curve(v.embed, embed_labels(v), C.nested_cv(v.embed, embed_labels(v), WHOLE), WHOLE))
 
 
 @query("clf_compare_models")
@@ -274,12 +276,23 @@ def _(v):
 
 @query("clf_multiclass_cv")
 def _(v):
-    return show(C.nested_cv_multiclass(v.embed, embed_classes(v), C.replace(SMALL, candidates=[(0.5, 0.5)]))[0])
+    return show(C.nested_cv_multiclass(v.embed, embed_classes(v), WHOLE)[0])
+
+
+@query("clf_permutation_multiclass")
+def _(v):
+    return show(C.permutation_control_multiclass(v.embed, embed_classes(v), WHOLE, 100))
+
+
+@query("clf_lock_multiclass")
+def _(v):
+    locked = C.lock_model_multiclass(v.embed, embed_classes(v), WHOLE)
+    return show(P.predict_locked(v.embed, locked.coefficients, locked.model))
 
 
 @query("clf_lock_model")
 def _(v):
-    locked = C.lock_model(v.embed, embed_labels(v), SMALL)
+    locked = C.lock_model(v.embed, embed_labels(v), WHOLE)
     return show(P.predict_locked(v.embed, locked.coefficients, locked.model))
 
 
