@@ -27,14 +27,17 @@ from exprspark.session import cut
 
 # The tuning grid, in the order in which equal scores are resolved.
 CANDIDATES = [(c, ratio) for c in (0.05, 0.5, 5.0) for ratio in (0.0, 0.5, 1.0)]
-# The tree grids; 12 levels stand for unlimited depth, 3 and 4 for 7 and 15 leaves.
-FOREST_CANDIDATES = [{"maxDepth": 12, "minInstancesPerNode": 1}, {"maxDepth": 5, "minInstancesPerNode": 3}]
-BOOST_CANDIDATES = [{"maxDepth": 3}, {"maxDepth": 4}]
+# The tree grids, trees of a forest, and rounds of boosting.
+FOREST_CANDIDATES = [{"depth": None, "least": 1}, {"depth": 5, "least": 3}]
+BOOST_CANDIDATES = [{"leaves": 7, "ridge": 0.0}, {"leaves": 15, "ridge": 1.0}]
+FOREST_TREES, BOOSTING_ROUNDS = 100, 100
+#: Levels that the distributed trees take for unlimited depth, and for so many leaves.
+DEEPEST, LEVELS = 30, {7: 3, 15: 4}
 
 
 CELLS_PER_PARTITION = 500_000
-# Iterations after which a fit counts as failed, and rounds of boosting.
-MAX_ITERATIONS, BOOSTING_ROUNDS = 20_000, 100
+# Fixed value: iterations after which a fit counts as failed.
+MAX_ITERATIONS = 20_000
 
 
 @dataclass
@@ -440,14 +443,27 @@ def learning_curve(cells: DataFrame, labels: DataFrame, validation: Validation,
 
 def _tree(algorithm: str, parameters: dict, seed: int):
     if algorithm == "random_forest":
-        return RandomForestClassifier(numTrees=100, seed=seed, weightCol="weight", **parameters)
-    return GBTClassifier(maxIter=BOOSTING_ROUNDS, seed=seed, weightCol="weight", minInstancesPerNode=5, **parameters)
+        return RandomForestClassifier(numTrees=FOREST_TREES, seed=seed, weightCol="weight", maxDepth=min(parameters["depth"] or DEEPEST, DEEPEST), minInstancesPerNode=parameters["least"])
+    return GBTClassifier(maxIter=BOOSTING_ROUNDS, seed=seed, weightCol="weight", minInstancesPerNode=5, maxDepth=LEVELS.get(parameters["leaves"], 4))
 
 
 def compare_models(cells: DataFrame, labels: DataFrame, config: Config, grids: dict[str, list[dict]] | None = None) -> DataFrame:
-    """Forest and boosted trees on the same outer folds, tuned on inner folds: (method, metrics)."""
+    """The elastic net, a forest and boosted trees on the same outer folds, tuned on the same inner folds: (method, metrics).
+
+    In a cohort that is broadcast, boosting grows leaf by leaf to 7 or 15 leaves with an L2 term of 0 or 1, and forests grow until pure. Beyond it
+    the distributed trees take 3 or 4 levels and up to 30."""
     cells = cut(cells)
     grids = grids or {"random_forest": FOREST_CANDIDATES, "boosted_trees": BOOST_CANDIDATES}
+    net = nested_cv(cells, labels, config).predictions.select(F.lit("elastic_net").alias("method"), "y", "p", "predicted")
+    cohort = R.gather(cells, labels) if config.metric in R.METRICS else None
+    if cohort is not None:
+        trees = R.run_trees(cells, cohort, config, grids, {"random_forest": FOREST_TREES, "boosted_trees": BOOSTING_ROUNDS})
+    else:
+        trees = _distributed_trees(cells, labels, config, grids)
+    return binary_metrics(cut(net.unionByName(trees.select("method", "y", "p", (F.col("p") >= 0.5).alias("predicted")))), ["method"])
+
+
+def _distributed_trees(cells: DataFrame, labels: DataFrame, config: Config, grids: dict[str, list[dict]]) -> DataFrame:
     assigned = cut(assign_folds(labels, config.outer_folds, config.repeats, config.seed))
     out = []
     for algorithm, grid in grids.items():
@@ -462,8 +478,7 @@ def compare_models(cells: DataFrame, labels: DataFrame, config: Config, grids: d
                 out.append(cut(model.transform(p.test).select(
                     F.lit(algorithm).alias("method"), F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))))
                 _release([p])
-    pred = union_all(out).withColumn("predicted", F.col("p") >= 0.5)
-    return binary_metrics(pred, ["method"])
+    return union_all(out)
 
 
 def _tune_tree(cells: DataFrame, train: DataFrame, config: Config, algorithm: str, grid: list[dict], seed: int) -> dict:

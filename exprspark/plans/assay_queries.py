@@ -218,8 +218,6 @@ def _(v):
 
 #: All features, five outer and four inner folds, nine candidates.
 WHOLE = C.Config(features=64, repeats=1, seed=4)
-#: Tree models are compared on fewer folds and one candidate a method.
-SMALL = C.Config(features=32, outer_folds=2, inner_folds=2, repeats=1, seed=4)
 
 
 def embed_labels(v) -> DataFrame:
@@ -270,8 +268,7 @@ def _(v):
 
 @query("clf_compare_models")
 def _(v):
-    grids = {"random_forest": [C.FOREST_CANDIDATES[1]], "boosted_trees": [C.BOOST_CANDIDATES[0]]}
-    return show(C.compare_models(v.embed, embed_labels(v), SMALL, grids), "method")
+    return show(C.compare_models(v.embed, embed_labels(v), WHOLE), "method")
 
 
 @query("clf_multiclass_cv")
