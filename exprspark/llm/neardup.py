@@ -8,9 +8,8 @@ key, so it is dropped before the pairs are formed: lone documents never reach th
 Inside a table bucket nobody is paired with everybody. Each class is compared with the ends of its
 buckets and with its neighbours in some buckets sorted by a run of minima; links that hold on the
 full shingle sets are joined into components. Only buckets that then hold several components go on:
-small ones with all pairs across components, larger ones sorted by another run, where each member
-meets the nearest one of another component. What is left in large buckets is compared exactly, in
-blocks: no pair of a bucket stays untested unless its members are already in one component. Pairs
+small ones with all pairs across components, larger ones in blocks, group of overlapping buckets by
+group: no pair of a bucket stays untested unless its members are already in one component. Pairs
 inside a component cost nothing, however large a group of copies is.
 """
 
@@ -127,8 +126,8 @@ def _member_arrays(block: pa.StructArray) -> tuple[np.ndarray, ...]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of two blocks of one bucket that are alike in their minima and whose set sizes allow the
-    similarity. A pair is given only in the first of the tables it shares: its other buckets hold both members as well."""
+    """Pairs across components of two blocks of one group of buckets that share a table, are alike in their minima and whose set
+    sizes allow the similarity."""
     for batch in batches:
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for r in range(batch.num_rows):
@@ -142,7 +141,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 agree += one[3][:, k, None] == two[3][None, :, k]
             i, j = np.nonzero(ok & (agree >= AGREE))
             same = one[4][i] == two[4][j]
-            here = (same[:, :SIDE].argmax(axis=1) == batch.column("at_left")[r].as_py()) & (same[:, SIDE:].argmax(axis=1) == batch.column("at_right")[r].as_py())
+            here = same[:, :SIDE].any(axis=1) & same[:, SIDE:].any(axis=1)
             u.append(one[0][i[here]]), v.append(two[0][j[here]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
@@ -158,10 +157,10 @@ def _near(pairs: DataFrame, kept: DataFrame, parts: int) -> DataFrame:
                .join(low.select(F.col("class").alias("v"), F.col("minima").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(_alike, "u bigint, v bigint").coalesce(parts))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the similarity."""
     return cut(pairs.join(texts.select(F.col("class").alias("u"), F.col("text").alias("left")), "u")
-               .join(texts.select(F.col("class").alias("v"), F.col("text").alias("right")), "v").select("u", "v", "left", "right").coalesce(parts).mapInArrow(_verify, "u bigint, v bigint"))
+               .join(texts.select(F.col("class").alias("v"), F.col("text").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(_verify, "u bigint, v bigint"))
 
 
 def _tables(survivors: DataFrame) -> DataFrame:
@@ -194,7 +193,7 @@ def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
     # every class with the first and the last member of its buckets, and with its neighbours in some sorted buckets
     pairs = _ends(members, "low", F.min).unionByName(_ends(members, "high", F.max))
     pairs = cut(_ordered(pairs.unionByName(_nearest(members.where("size > 2").withColumn("root", F.col("class")), kept, (0,), 0))).coalesce(few))
-    links = _links(pairs, texts, few)
+    links = _links(pairs, texts)
     roots = cut(common.components(links, few).coalesce(few))
 
     # then what lies across the components of a bucket
@@ -203,16 +202,16 @@ def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
     still = cut(placed.join(mixed, "key").coalesce(few))
     small = still.where(F.col("size") <= SMALL_BUCKET).select("key", "class", "root")
     within = small.alias("l").join(small.alias("r"), F.expr("l.key = r.key and l.class > r.class and l.root <> r.root")).select(F.col("l.class").alias("u"), F.col("r.class").alias("v"))
-    across = within.unionByName(_nearest(still.where(F.col("size") > SMALL_BUCKET), kept, (2, 3, 4), 1))
-    more = _links(_near(_ordered(across).join(pairs, ["u", "v"], "left_anti"), kept, few), texts, few)
+    across = cut(_ordered(within).join(pairs, ["u", "v"], "left_anti"))
+    more = _links(_near(across, kept, few), texts)
     roots = _joined(links.unionByName(more), roots, few)
 
     # at last all that is still apart in large buckets; what is left apart after this pass has been tested
     large = members.where(F.col("size") > SMALL_BUCKET).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rest = _all_blocks(large, kept)
+    rest = _all_blocks(large, kept, few)
     if rest is not None:
-        tested = pairs.unionByName(_ordered(across))
-        roots = _joined(_links(_ordered(rest).join(tested, ["u", "v"], "left_anti"), texts, few), roots, few)
+        tested = pairs.unionByName(across)
+        roots = _joined(_links(_ordered(rest).join(tested, ["u", "v"], "left_anti"), texts), roots, few)
     return roots.select(F.col("node").alias("class"), "root").unionByName(roots.select(F.col("root").alias("class"), "root")).distinct()
 
 
@@ -225,22 +224,27 @@ def _joined(links: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     return cut(common.components(edges, parts).coalesce(parts))
 
 
-def _all_blocks(large: DataFrame, kept: DataFrame) -> DataFrame | None:
-    """(u, v): in buckets of several components, the members outside the largest one with each other and with that one, exactly.
-    Members are dealt over blocks of about `BLOCK`; a block goes to as many tasks as there are blocks on the other side, and
-    a pair is given only if its minima agree. None where no bucket holds several components."""
-    sizes = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    still = cut(large.join(sizes, "key").withColumn("side", F.col("root") == F.col("main")))
+def _all_blocks(large: DataFrame, kept: DataFrame, few: int) -> DataFrame | None:
+    """(u, v): the pairs across components that share a large bucket, exactly, where their minima agree. Buckets of several
+    components that share a class form one group, so a class carries its minima once and a pair is compared once, however many
+    buckets hold it. In a group the members outside its largest component meet each other and that one. Members are dealt over
+    blocks of about `BLOCK`; a block goes to as many tasks as there are blocks on the other side. None where no bucket holds
+    several components."""
+    mixed = large.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("class").alias("first")).where("a <> b").select("key", "first")
+    still = cut(large.join(mixed, "key").select("class", "root", "first").distinct())
     if still.isEmpty():
         return None
+    groups = common.components(still.select(F.col("class").alias("u"), F.col("first").alias("v")), few).select(F.col("node").alias("class"), F.col("root").alias("group"))
+    own = cut(still.select("class", "root").distinct().join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")))
+    per = own.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_size"), F.sum("n").alias("size"))
     pieces = F.ceil(F.when(F.col("side"), F.col("main_size")).otherwise(F.col("size") - F.col("main_size")) / BLOCK).cast("int")
-    parts = (still.join(kept.select("class", "n", "minima", "halves"), "class").withColumn("piece", F.pmod(F.xxhash64("class", F.lit(5)), pieces)).groupBy("key", "side", "piece")
-             .agg(F.first("left").alias("at_left"), F.first("right").alias("at_right"), F.collect_list(F.struct("class", "root", "n", "minima", "halves")).alias("members")))
-    parts = cut(parts)
-    one = parts.where("not side").select("key", "at_left", "at_right", F.col("piece").alias("p"), F.col("members").alias("left"))
-    two = parts.select("key", F.col("side").alias("main"), F.col("piece").alias("q"), F.col("members").alias("right"))
-    return cut(one.join(two, "key").where("main or p <= q").select("at_left", "at_right", "left", "right").mapInArrow(_blocks, "u bigint, v bigint"))
+    placed = own.join(sizes, "group").withColumn("side", F.col("root") == F.col("main")).join(kept.select("class", "n", "minima", "halves"), "class")
+    parts = cut(placed.withColumn("piece", F.pmod(F.xxhash64("class", F.lit(5)), pieces)).groupBy("group", "side", "piece").agg(
+        F.collect_list(F.struct("class", "root", "n", "minima", "halves")).alias("members")))
+    one = parts.where("not side").select("group", F.col("piece").alias("p"), F.col("members").alias("left"))
+    two = parts.select("group", F.col("side").alias("main"), F.col("piece").alias("q"), F.col("members").alias("right"))
+    return cut(one.join(two, "group").where("main or p <= q").select("left", "right").mapInArrow(_blocks, "u bigint, v bigint"))
 
 
 def _ends(members: DataFrame, end: str, extreme) -> DataFrame:
