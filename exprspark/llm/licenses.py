@@ -144,10 +144,20 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     above = above.unionByName(dirs.where("own_dir <> ''").select("own_dir", F.lit(0).alias("depth"), F.lit("").alias("dir")))
     nearest = above.join(licensed, "dir").groupBy("own_dir").agg(F.max_by(F.struct("dir", "dir_license"), "depth").alias("near"))
 
-    joined = files.withColumn("_dir", folder).join(own.withColumnsRenamed({"license": "_own", "score": "_score"}), "path", "left").join(nearest, F.col("_dir") == F.col("own_dir"), "left")
-    origin = F.when(F.col("_own").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited")
-    return joined.select(*[files[c] for c in files.columns if c not in ("license", "origin", "score", "license_dir")], F.coalesce("_own", "near.dir_license").alias("license"), origin.alias("origin"),
-                         F.col("_score").alias("score"), F.when(F.col("_own").isNull(), F.col("near.dir")).alias("license_dir"))
+    def fresh(name: str) -> str:
+        """A name that no column of files has."""
+        while name.lower() in {c.lower() for c in files.columns}:
+            name = f"_{name}"
+        return name
+
+    path, at, of, found, value, near = map(fresh, ("scan_path", "scan_at", "scan_of", "scan_license", "scan_score", "scan_near"))
+    mine = own.select(F.col("path").alias(path), F.col("license").alias(found), F.col("score").alias(value))
+    above = nearest.select(F.col("own_dir").alias(of), F.col("near").alias(near))
+    joined = files.withColumn(at, folder).join(mine, F.col("path") == F.col(path), "left").join(above, F.col(at) == F.col(of), "left")
+    origin = F.when(F.col(found).isNotNull(), "header").when(F.col(near).isNotNull(), "inherited")
+    passed = [F.col(f"`{c}`") for c in files.columns if c not in ("license", "origin", "score", "license_dir")]
+    return joined.select(*passed, F.coalesce(F.col(found), F.col(near)["dir_license"]).alias("license"), origin.alias("origin"), F.col(value).alias("score"),
+                         F.when(F.col(found).isNull(), F.col(near)["dir"]).alias("license_dir"))
 
 
 def document_files(docs: DataFrame) -> DataFrame:

@@ -257,6 +257,9 @@ def read(media: bytes | None) -> Iterator[Page]:
         yield Page(0, error="not a TIFF file")
         return
     (at,) = struct.unpack_from(order + "I", media, 4)
+    if not at:
+        yield Page(0, error="no directory")
+        return
     seen: set[int] = set()
     while at:
         page = Page(len(seen))
@@ -273,8 +276,8 @@ def read(media: bytes | None) -> Iterator[Page]:
             return
         try:
             page.data = _decode(media, order, tags, page)
-        except (ValueError, struct.error, zlib.error, MemoryError, TypeError) as error:
-            page.error = str(error)
+        except (ValueError, IndexError, ArithmeticError, struct.error, zlib.error, MemoryError, TypeError) as error:
+            page.error = str(error) or type(error).__name__
         yield page
 
 

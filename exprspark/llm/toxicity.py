@@ -50,13 +50,18 @@ def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             first, size = i + 1, 0
     if not owners:
         return np.empty(0, np.uint32), np.empty(0), base
-    owner, value = np.concatenate(owners), np.concatenate(values)
-    known, count = np.unique(value, return_counts=True)
-    known = known[count > 1]
-    place = np.searchsorted(known, value)
-    keep = place < len(known)
-    keep[keep] = known[place[keep]] == value[keep]
-    owner, place = owner[keep], place[keep].astype(np.int32)
+    every = np.concatenate(values)
+    every.sort()
+    known = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    held = []
+    for k, value in enumerate(values):  # part by part: only places of shared features outlive it
+        place = np.searchsorted(known, value)
+        keep = place < len(known)
+        keep[keep] = known[place[keep]] == value[keep]
+        held.append((owners[k][keep], place[keep].astype(np.int32)))
+        values[k] = None
+    owner, place = (np.concatenate([h[c] for h in held]) for c in (0, 1))
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     z, n = np.zeros(len(known)), np.zeros(len(known))
     zb = nb = 0.0
