@@ -102,19 +102,21 @@ def subgroup_review(pairs: DataFrame, subgroup: str) -> DataFrame:
 
 
 def level_rows(rows: DataFrame, reference: float) -> DataFrame:
-    """Each measurement against the same sample's reference level."""
+    """Each measurement against the same sample's reference level; where the sample has none, differences and agreement are null."""
     ref = rows.where(F.col("level") == reference).select(
         "biological_sample_id", F.col("score").alias("reference_score"), F.col("call").alias("reference_call"))
     gap = F.col("score") - F.col("reference_score")
-    return rows.join(ref, "biological_sample_id").withColumn("difference", gap).withColumn("absolute_difference", F.abs(gap)).withColumn(
+    return rows.join(ref, "biological_sample_id", "left").withColumn("difference", gap).withColumn("absolute_difference", F.abs(gap)).withColumn(
         "call_agreement", F.col("call") == F.col("reference_call"))
 
 
 def level_metrics(rows: DataFrame, reference: float) -> DataFrame:
-    """Per level: differences to the reference with interval, agreement, crossings, QC failures."""
+    """Per level: differences to the reference with interval, agreement, crossings, QC failures. Measurements of samples
+    without a reference level count in the mean score and in `unpaired_count`, and in nothing that needs a pair."""
     half, mean = half_width("difference"), F.avg("difference")
     return level_rows(rows, reference).groupBy("level").agg(
-        F.count(F.lit(1)).alias("measurement_count"), F.avg("score").alias("mean_score"), mean.alias("mean_score_difference"),
+        F.count(F.lit(1)).alias("measurement_count"), F.count_if(F.col("difference").isNull()).alias("unpaired_count"),
+        F.avg("score").alias("mean_score"), mean.alias("mean_score_difference"),
         F.avg("absolute_difference").alias("mean_absolute_score_difference"), (mean - half).alias("lower"), (mean + half).alias("upper"),
         F.avg(F.col("call_agreement").cast("double")).alias("call_agreement_to_reference"),
         F.count_if(~F.col("call_agreement")).alias("threshold_crossing_count"), F.avg(F.col("qc_failure").cast("double")).alias("qc_failure_rate"))

@@ -92,14 +92,15 @@ def _(v):
     return v.binary.agg(F.count(F.lit(1)).alias("samples")).withColumn("intercept", F.lit(round(intercept, 6))).withColumn("slope", F.lit(round(slope, 6)))
 
 
-THREE = """w as (select cast(vec_id as varchar) as sample_id, 'c' || cast(label // 4 as varchar) as observed, unnest(['c0', 'c1', 'c2']) as class, unnest([abs(embedding[1]::double), abs(embedding[2]::double), abs(embedding[3]::double)]) as a from embeddings),
+THREE = """w as (select cast(vec_id as varchar) as sample_id, 'c' || cast(label // 4 as varchar) as observed, unnest(['c0', 'c1', 'c2']) as class, unnest([list_sum([abs(embedding[i]::double) for i in range(c, len(embedding) + 1, 3)]) for c in [1, 2, 3]]) as a from embeddings),
  long as (select sample_id, observed, class, a / sum(a) over (partition by sample_id) as probability from w),
  pred as (select sample_id, any_value(observed) as observed, arg_min(class, (-probability, class)) as predicted, max(probability) filter (class = observed) as q from long group by 1)"""
 
 
 def three_classes(v) -> DataFrame:
     e = v.table("embeddings")
-    a = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
+    third = "aggregate(filter(embedding, (x, i) -> i % 3 = {}), 0D, (s, x) -> s + abs(cast(x as double)))"
+    a = F.array(*[F.expr(third.format(c)) for c in range(3)])
     rows = e.select(F.col("vec_id").cast("string").alias("sample_id"), F.concat(F.lit("c"), F.floor(F.col("label") / 4).cast("string")).alias("observed"),
                     a.alias("a"), F.aggregate(a, F.lit(0.0), lambda x, y: x + y).alias("t"))
     return rows.select("sample_id", "observed", F.posexplode("a").alias("i", "a"), "t").select(
@@ -423,10 +424,10 @@ def _(v):
     return E.check_assignments(event_assignments(v), ["condition"])
 
 
-@query("exp_pairs", "a_pairs", sql="""select 'ERROR' as severity, 'DESIGN.PAIRED_CONDITIONS_INCOMPLETE' as code, biological_sample_id as subject from a_pairs where n >= 10 group by 3 having count(*) filter (condition = 'view') <> 1 or count(*) filter (condition = 'purchase') <> 1
- union all select 'ERROR', 'DESIGN.INSUFFICIENT_COMPLETE_PAIRS', '' from (select biological_sample_id from a_pairs where n >= 10 group by 1 having count(*) filter (condition = 'view') = 1 and count(*) filter (condition = 'purchase') = 1) having count(*) < 149""")
+@query("exp_pairs", "a_pairs", sql="""select 'ERROR' as severity, 'DESIGN.PAIRED_CONDITIONS_INCOMPLETE' as code, biological_sample_id as subject from a_pairs group by 3 having count(*) filter (condition = 'view') <> 1 or count(*) filter (condition = 'purchase') <> 1
+ union all select 'ERROR', 'DESIGN.INSUFFICIENT_COMPLETE_PAIRS', '' from (select biological_sample_id from a_pairs group by 1 having count(*) filter (condition = 'view') = 1 and count(*) filter (condition = 'purchase') = 1) having count(*) < 149""")
 def _(v):
-    return E.check_pairs(v.pairs.where("n >= 10"), "view", "purchase", 149)
+    return E.check_pairs(v.pairs, "view", "purchase", 149)
 
 
 @query("exp_confounding", "a_pairs", sql="""with_c as (select distinct condition, run from a_pairs), a as (select condition, count(*) as k from with_c group by 1), b as (select run, count(*) as k from with_c group by 1)
@@ -503,7 +504,7 @@ def _(v):
     return show(event_pairs(v))
 
 
-CI = "1.96 * stddev_samp({c}) / sqrt(count(*))"
+CI = "1.96 * stddev_samp({c}) / sqrt(count({c}))"
 
 
 @query("exp_pair_summary", "a_pairs", "a_cells", sql=f""", {PAIRS} select count(*) as pair_count, round(avg(difference), 6) as mean_paired_difference, round(avg(difference) - {CI.format(c='difference')}, 6) as lower, round(avg(difference) + {CI.format(c='difference')}, 6) as upper,
@@ -653,12 +654,12 @@ def _(v):
     return show(U.deming(bridge(v)))
 
 
-LEVELS = f"""dl as (select l.*, l.score - r.score as difference, l.call = r.call as agree from a_levels l join a_levels r on r.biological_sample_id = l.biological_sample_id and r.level = 5),
- lm as (select level, count(*) as measurement_count, avg(score) as mean_score, avg(difference) as mean_score_difference, avg(abs(difference)) as mean_absolute_score_difference, avg(difference) - {CI.format(c='difference')} as lower, avg(difference) + {CI.format(c='difference')} as upper,
+LEVELS = f"""dl as (select l.*, l.score - r.score as difference, l.call = r.call as agree from a_levels l left join a_levels r on r.biological_sample_id = l.biological_sample_id and r.level = 5),
+ lm as (select level, count(*) as measurement_count, count(*) filter (difference is null) as unpaired_count, avg(score) as mean_score, avg(difference) as mean_score_difference, avg(abs(difference)) as mean_absolute_score_difference, avg(difference) - {CI.format(c='difference')} as lower, avg(difference) + {CI.format(c='difference')} as upper,
  avg(agree::int) as call_agreement_to_reference, count(*) filter (not agree) as threshold_crossing_count, avg(qc_failure::int) as qc_failure_rate from dl group by 1)"""
 
 
-@query("stu_levels", "a_levels", sql=f""", {LEVELS} select level, measurement_count, round(mean_score, 6) as mean_score, round(mean_score_difference, 6) as mean_score_difference, round(mean_absolute_score_difference, 6) as mean_absolute_score_difference, round(lower, 6) as lower, round(upper, 6) as upper,
+@query("stu_levels", "a_levels", sql=f""", {LEVELS} select level, measurement_count, unpaired_count, round(mean_score, 6) as mean_score, round(mean_score_difference, 6) as mean_score_difference, round(mean_absolute_score_difference, 6) as mean_absolute_score_difference, round(lower, 6) as lower, round(upper, 6) as upper,
  round(call_agreement_to_reference, 6) as call_agreement_to_reference, threshold_crossing_count, round(qc_failure_rate, 6) as qc_failure_rate from lm""")
 def _(v):
     return show(U.level_metrics(v.levels, 5.0))

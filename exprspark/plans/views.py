@@ -112,8 +112,7 @@ class Views:
         per = self.table("orders").groupBy(
             F.col("o_custkey").cast("string").alias("biological_sample_id"), F.substring("o_orderpriority", 1, 1).cast("double").alias("level")
         ).agg(F.avg("o_totalprice").alias("price"), F.min("o_orderdate").alias("first_order"))
-        whole = per.groupBy("biological_sample_id").agg(F.count(F.lit(1)).alias("k")).where("k = 5")
-        return per.join(whole, "biological_sample_id", "left_semi").select(
+        return per.select(
             "biological_sample_id", "level", F.concat_ws("-", "biological_sample_id", F.col("level").cast("int").cast("string")).alias("measurement_id"),
             (F.col("price") / 500000.0).alias("score"),
             F.when(F.col("price") >= 250000.0, "high").otherwise("low").alias("call"),
@@ -154,7 +153,7 @@ SQL = {
     "e_sets": "select unnest(['tens' || cast(cast(substr(feature_id, 2, 3) as int) // 10 as varchar), 'twenties' || cast(cast(substr(feature_id, 2, 3) as int) // 20 as varchar)]) as set_id, feature_id, cast(substr(feature_id, 2, 3) as int) - 31.5 as weight from (select distinct feature_id from m_embed)",
     "a_pairs": "select cast(user_id as varchar) || '-' || event_type as measurement_id, cast(user_id as varchar) as biological_sample_id, event_type as condition, strftime(min(ts), '%Y-%m-%d') as run, avg(value) as value, min(value) as quality_metric, count(*) as n from events group by user_id, event_type",
     "a_cells": "select strftime(ts, '%d') as feature_id, cast(user_id as varchar) || '-' || event_type as sample_id, avg(value) as value from events group by 1, 2",
-    "a_levels": "select biological_sample_id, level, biological_sample_id || '-' || cast(cast(level as int) as varchar) as measurement_id, price / 500000.0 as score, case when price >= 250000 then 'high' else 'low' end as call, price < 100000 as qc_failure, strftime(first_order, '%Y') as run from (select cast(o_custkey as varchar) as biological_sample_id, cast(substr(o_orderpriority, 1, 1) as double) as level, avg(o_totalprice) as price, min(o_orderdate) as first_order, count(*) over (partition by o_custkey) as k from orders group by o_custkey, cast(substr(o_orderpriority, 1, 1) as double)) where k = 5",
+    "a_levels": "select biological_sample_id, level, biological_sample_id || '-' || cast(cast(level as int) as varchar) as measurement_id, price / 500000.0 as score, case when price >= 250000 then 'high' else 'low' end as call, price < 100000 as qc_failure, strftime(first_order, '%Y') as run from (select cast(o_custkey as varchar) as biological_sample_id, cast(substr(o_orderpriority, 1, 1) as double) as level, avg(o_totalprice) as price, min(o_orderdate) as first_order from orders group by o_custkey, cast(substr(o_orderpriority, 1, 1) as double))",
     "a_replicates": "select cast(event_id as varchar) as measurement_id, cast(user_id as varchar) as biological_sample_id, event_type as operator, day(ts) as day, value as score, case when value >= 10 then 'high' else 'low' end as call from events",
     "p_binary": "select cast(doc_id as varchar) as sample_id, source as \"group\", lang as cohort, quality as y, n_chars / (n_chars + 1000.0) as p from labels join documents using (doc_id)",
     "d_estimates": "select l_returnflag as run, cast(l_suppkey as varchar) as sample_id, l_linestatus as population, sum(l_quantity) / sum(sum(l_quantity)) over (partition by l_returnflag, l_suppkey) as value from lineitem group by l_returnflag, l_suppkey, l_linestatus",

@@ -75,3 +75,15 @@ def test_criteria_follow_their_study(spark):
 def test_participants_are_units(spark):
     profile = spark.createDataFrame([("Participant-ID", 3, 0), ("biological_sample", 3, 0), ("sex", 2, 0)], "variable string, unique_count long, missing_count long")
     assert [r.variable for r in classifier.hidden_units(profile, 9).collect()] == ["Participant-ID"]
+
+
+def test_levels_without_a_reference_count_but_make_no_pair(spark):
+    from exprspark.operators import studies
+
+    rows = spark.createDataFrame(
+        [("a", 5.0, 0.8, "high", False), ("a", 1.0, 0.6, "low", True), ("b", 1.0, 0.9, "high", False), ("c", 5.0, 0.4, "low", False), ("c", 1.0, 0.5, "low", False)],
+        "biological_sample_id string, level double, score double, call string, qc_failure boolean")
+    low, top = studies.level_metrics(rows, 5.0).orderBy("level").collect()
+    assert (low.measurement_count, low.unpaired_count, low.threshold_crossing_count) == (3, 1, 1)
+    assert abs(low.mean_score - 2 / 3) < 1e-12 and abs(low.mean_score_difference + 0.05) < 1e-12 and low.call_agreement_to_reference == 0.5
+    assert (top.measurement_count, top.unpaired_count, top.mean_score_difference) == (2, 0, 0.0)
