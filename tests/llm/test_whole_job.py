@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from exprspark.llm import decontam, licenses, neardup
 
 
@@ -80,3 +82,23 @@ def test_copies_with_an_inserted_word_or_one_odd_slot_are_found(spark):
     item = "the baker sells 5 loaves every morning and the miller brings 7 sacks of flour and then both count 5 coins on the table"
     texts = [item.replace("brings 7", "brings of course 7"), item.replace("brings 7 sacks", "brings sacks"), item.replace("count 5", "count 6"), item[: len(item) // 2]]
     assert leaked(spark, texts, item) == {0, 1, 2}
+
+
+UNRELATED = {
+    "de": ("Der Hund lief zum Haus und die Katze sah den Vogel im Garten neben dem Baum.", "Der Bote lief zum Dorf und die Frau sah den Mann im Laden neben dem Platz."),
+    "en": ("Last week Anna ran to Paris and Clara saw Boris in London with Karl near Berlin.", "Last week Doris ran to Madrid and Emma saw Diego in Lisbon with Paul near Naples."),
+    "fr": ("Le soir Paul voit Marie avec Jean dans la rue et Luc avec Anne dans le parc de Lyon.", "Un jour Marc perd Julie avec Hugo dans la neige et Remi avec Lena dans le port de Nice."),
+    "es": ("Ayer Pablo vio a Maria con Juan en la calle y a Lucas con Elena en el parque de Madrid.", "Luego Diego dio a Sofia con Mateo en la noche y a Bruno con Laura en el puerto de Burgos."),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(UNRELATED))
+def test_sentences_that_share_little_but_small_words_are_no_leaks(spark, lang):
+    item, other = UNRELATED[lang]
+    assert leaked(spark, [f"{prose('a', 5)}. {item} {prose('b', 5)}", f"{prose('c', 5)}. {other} {prose('d', 5)}"], item) == {0}
+
+
+def test_german_items_with_other_numbers_are_leaks(spark):
+    item = "Der Bauer kauft 12 Kisten mit je 30 Eiern und verliert davon 4 Stunden lang 7 Eier auf dem Weg zum Markt."
+    copy = item.replace("12", "15").replace("30", "24").replace("4 ", "6 ").replace("7 ", "9 ")
+    assert leaked(spark, [copy, copy.lower(), prose("x", 40)], item) >= {0}
