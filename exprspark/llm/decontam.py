@@ -76,18 +76,19 @@ def values(line: Column) -> Column:
 
 def _window_keys(hashes: str, width: int) -> str:
     """SQL of the keys of all windows of `width` entries of an array of word hashes."""
+    own = ", ".join(f"h[i + {k}]" for k in range(width))  # the hash of an array is that of its entries in order
     return (f"flatten(transform(array({hashes}), h -> if(size(h) < {width}, cast(array() as array<bigint>), "
-            f"transform(sequence(1, size(h) - {width - 1}), i -> xxhash64(slice(h, i, {width}))))))")
+            f"transform(sequence(0, size(h) - {width}), i -> xxhash64({own})))))")
 
 
 def document_windows(docs: DataFrame, short: list[int]) -> DataFrame:
     """(text_key, pos, key) of all of each document's windows of `WINDOW` words and of the lengths in `short`: by value, and by
     template where a window holds a placeholder. A word is split off and hashed once; keys combine the hashes."""
     line = docs.select(common.text_key().alias("text_key"), canonical(F.col("text")).alias("line"))
-    line = line.withColumn("line", F.when(F.col("line").rlike(r"\p{Lu}"), F.lower("line")).otherwise(F.col("line"))).where("line <> ''")
+    line = line.withColumn("line", F.when(F.col("line").rlike(r"\p{Lu}"), F.lower("line")).otherwise(F.col("line")))
 
     def hashes(form: Column) -> Column:
-        return F.transform(F.split(form, " "), lambda w: F.xxhash64(w))
+        return F.when(F.col("line") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(form, " "), lambda w: F.xxhash64(w)))
 
     marked = F.col("line").rlike(f"[{MARKS}]")
     own = line.select("text_key", hashes(values(F.col("line"))).alias("v"), F.when(marked, hashes(template(F.col("line")))).alias("t"))
