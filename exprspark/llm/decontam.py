@@ -50,7 +50,7 @@ def canonical(text: Column) -> Column:
     word may be a name or not, and has a mark of its own, which any such word meets. A capitalised word after a German article is
     a noun, no name. A unit is a listed word after a number. Numbers keep decimal signs as underscores. Marks that stand in a text are treated like its own.
     """
-    noun = rf"(?<!(?<!\p{{L}})(?i:{'|'.join(ARTICLES)})\s)"
+    noun = rf"(?<!(?<!\p{{L}})(?:{'|'.join(f'[{w[0]}{w[0].upper()}]{w[1:]}' for w in ARTICLES)})\s)"
     t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?=\p{{Lu}})(?<=[^.!?\s]\s){noun}\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{Nd}}]*", f"{NAME}$0")
     t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{Nd}}_{NAME}]){noun}(?!(?:{'|'.join(OPENERS)})(?![\p{{L}}\p{{Nd}}_]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{Nd}}]*", f"{START}$0")
     n = F.regexp_replace(t, r"(?<=\p{Nd})[.,](?=\p{Nd})", "_")
