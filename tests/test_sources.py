@@ -5,6 +5,7 @@ import pytest
 
 from exprspark.sources import bundle, intake, tables
 from exprspark.operators import studies, validate
+from exprspark.plans.catalogue import QUERIES
 
 
 def write(path, text):
@@ -74,3 +75,15 @@ def test_criteria_cover_every_outcome(spark):
         "criterion_id string, metric string, endpoint string, operator string, threshold array<double>")
     got = {r["criterion_id"]: r["status"] for r in studies.evaluate_criteria(metrics, criteria, "precision").collect()}
     assert got == {"a": "PASS", "b": "FAIL", "c": "INDETERMINATE", "d": "NOT_APPLICABLE", "e": "NOT_APPLICABLE"}
+
+
+def test_only_an_uploaded_sheet_has_a_largest_length(spark):
+    sheet = spark.range(3).selectExpr("concat('s', id) as sample_id", "concat('lane_', id) as lane_id", "concat('f', id) as read1", "'' as read2", "'x' as batch")
+    files = sheet.selectExpr("'fastq_r1' as role", "read1 as name")
+    assert [r["code"] for r in intake.lane_findings(sheet, files, ["batch"], max_rows=2).collect()] == ["SHEET_TOO_LONG"]
+    assert intake.lane_findings(sheet, files, ["batch"]).isEmpty()
+
+
+def test_lane_query_judges_a_table_of_any_length(spark, tmp_path):
+    spark.range(10_001).selectExpr("id as s_suppkey", "concat('Supplier#', id) as s_name", "cast(id % 25 as int) as s_nationkey", "100D as s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert QUERIES["src_lane_findings"](spark, str(tmp_path)).isEmpty()
