@@ -33,9 +33,12 @@ MULTIPLIERS = hashing.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x
 SHIFTS = hashing.mix(np.arange(501, 501 + ROWS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 #: At similarity 0.75 a pair agrees on 42 of 56 minima, 3.2 the standard deviation; below 23 is six of those off.
 AGREE = 23
-#: Up to this size a bucket of several components is compared pair by pair, a larger one in blocks of about `BLOCK` members.
+#: Up to this size a bucket of several components is compared pair by pair, a larger one in blocks of about `BLOCK` members
+#: and `BLOCK_SHINGLES` shingles. One text may hold more; a product of blocks takes `VALUES` shingles at a time.
 SMALL_BUCKET = 48
-BLOCK = 64
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 16
+VALUES = 4096
 
 PROFILE = "doc_id bigint, text_key bigint, n_shingles bigint, class bigint, halves array<bigint>, minima binary"
 
@@ -120,29 +123,78 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls[1:][good]), pa.array(cls[change[good] - 1])], names=["u", "v"])
 
 
-def _member_arrays(block: pa.StructArray) -> tuple[np.ndarray, ...]:
-    cls, root, n, low, halves = block.flatten()
-    return (cls.to_numpy(), root.to_numpy(), n.to_numpy(), np.frombuffer(b"".join(low.to_pylist()), np.uint16).reshape(len(block), ROWS), halves.flatten().to_numpy().reshape(len(block), 2 * SIDE))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in common.slices(batch):
+            sets = hashing.shingle_sets(common.encoded(part.column("text")), WIDTH)
+            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set of `one` with each set of `two`: products of incidence matrices over the shared
+    values, a few thousand values at a time."""
+    shared = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    out = np.zeros((len(one), len(two)), np.int64)
+    sides = []
+    for sets in (one, two):
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.searchsorted(shared, values)
+        here = column < len(shared)
+        here[here] = shared[column[here]] == values[here]
+        order = np.argsort(column[here], kind="stable")
+        sides.append((len(sets), owner[here][order], column[here][order]))
+    for at in range(0, len(shared), VALUES):
+        width = min(VALUES, len(shared) - at)
+        parts = []
+        for size, owner, column in sides:
+            low, high = np.searchsorted(column, (at, at + width))
+            part = np.zeros((size, width), np.float32)
+            part[owner[low:high], column[low:high] - at] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of entries that join the same rows and columns as all true entries do, fewer than rows plus columns."""
+    rows_left, columns_left = linked.any(axis=1), linked.any(axis=0)
+    i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for start in np.flatnonzero(rows_left):
+        rows = np.array([start] if rows_left[start] else [], np.int64)
+        rows_left[rows] = False
+        while len(rows):
+            columns = np.flatnonzero(linked[rows].any(axis=0) & columns_left)
+            columns_left[columns] = False
+            further = np.flatnonzero(linked[:, columns].any(axis=1) & rows_left)
+            rows_left[further] = False
+            if len(columns):
+                i.append(rows[linked[np.ix_(rows, columns)].argmax(axis=0)]), j.append(columns)
+            if len(further):
+                i.append(further), j.append(columns[linked[np.ix_(further, columns)].argmax(axis=1)])
+            rows = further
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _members(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    cls, root, shingles = block.flatten()
+    return cls.to_numpy(), root.to_numpy(), [np.frombuffer(s, np.uint64) for s in shingles.to_pylist()]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of two blocks of one group of buckets that share a table, are alike in their minima and whose set
-    sizes allow the similarity."""
+    """Links across components of two blocks, tested on the full shingle sets. Of links that join the same classes only a
+    spanning forest comes back, so a pair of blocks gives fewer rows than it has members."""
     for batch in batches:
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for r in range(batch.num_rows):
-            one, two = (_member_arrays(batch.column(c)[r].values) for c in ("left", "right"))
-            ok = one[1][:, None] != two[1][None, :]
-            ok &= 4 * np.minimum(one[2][:, None], two[2][None, :]) >= 3 * np.maximum(one[2][:, None], two[2][None, :])
-            if not ok.any():
+            one, two = (_members(batch.column(c)[r].values) for c in ("left", "right"))
+            apart = one[1][:, None] != two[1][None, :]
+            if not apart.any():
                 continue
-            agree = np.zeros(ok.shape, np.uint8)
-            for k in range(ROWS):
-                agree += one[3][:, k, None] == two[3][None, :, k]
-            i, j = np.nonzero(ok & (agree >= AGREE))
-            same = one[4][i] == two[4][j]
-            here = same[:, :SIDE].any(axis=1) & same[:, SIDE:].any(axis=1)
-            u.append(one[0][i[here]]), v.append(two[0][j[here]])
+            both = np.array([len(s) for s in one[2]])[:, None] + np.array([len(s) for s in two[2]])[None, :]
+            shared = intersections(one[2], two[2])
+            i, j = spanning(apart & (100 * shared >= 75 * (both - shared)))
+            u.append(one[0][i]), v.append(two[0][j])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
 
@@ -208,10 +260,9 @@ def class_roots(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
     # at last all that is still apart in large buckets; what is left apart after this pass has been tested
     large = members.where(F.col("size") > SMALL_BUCKET).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rest = _all_blocks(large, kept, few)
+    rest = _all_blocks(large, kept, texts, few)
     if rest is not None:
-        tested = pairs.unionByName(across)
-        roots = _joined(_links(_ordered(rest).join(tested, ["u", "v"], "left_anti"), texts), roots, few)
+        roots = _joined(rest, roots, few)
     return roots.select(F.col("node").alias("class"), "root").unionByName(roots.select(F.col("root").alias("class"), "root")).distinct()
 
 
@@ -224,27 +275,36 @@ def _joined(links: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     return cut(common.components(edges, parts).coalesce(parts))
 
 
-def _all_blocks(large: DataFrame, kept: DataFrame, few: int) -> DataFrame | None:
-    """(u, v): the pairs across components that share a large bucket, exactly, where their minima agree. Buckets of several
-    components that share a class form one group, so a class carries its minima once and a pair is compared once, however many
+def _all_blocks(large: DataFrame, kept: DataFrame, texts: DataFrame, few: int) -> DataFrame | None:
+    """(u, v): links across components that share a large bucket, enough of them to join all that are linked. Buckets of several
+    components that share a class form one group, so a class carries its shingles once and a pair is compared once, however many
     buckets hold it. In a group the members outside its largest component meet each other and that one. Members are dealt over
-    blocks of about `BLOCK`; a block goes to as many tasks as there are blocks on the other side. None where no bucket holds
-    several components."""
+    blocks; a block goes to as many tasks as there are blocks on the other side. None where no bucket holds several components."""
     mixed = large.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("class").alias("first")).where("a <> b").select("key", "first")
     still = cut(large.join(mixed, "key").select("class", "root", "first").distinct())
     if still.isEmpty():
         return None
     groups = common.components(still.select(F.col("class").alias("u"), F.col("first").alias("v")), few).select(F.col("node").alias("class"), F.col("root").alias("group"))
-    own = cut(still.select("class", "root").distinct().join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")))
-    per = own.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
-    sizes = per.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_size"), F.sum("n").alias("size"))
-    pieces = F.ceil(F.when(F.col("side"), F.col("main_size")).otherwise(F.col("size") - F.col("main_size")) / BLOCK).cast("int")
-    placed = own.join(sizes, "group").withColumn("side", F.col("root") == F.col("main")).join(kept.select("class", "n", "minima", "halves"), "class")
-    parts = cut(placed.withColumn("piece", F.pmod(F.xxhash64("class", F.lit(5)), pieces)).groupBy("group", "side", "piece").agg(
-        F.collect_list(F.struct("class", "root", "n", "minima", "halves")).alias("members")))
+    own = still.select("class", "root").distinct().join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
+    own = cut(own.join(kept.select("class", "n"), "class"))
+    per = own.groupBy("group", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
+    main = F.max(F.struct("count", "root", "n"))
+    sizes = per.groupBy("group").agg(main.alias("main"), F.sum("count").alias("count"), F.sum("n").alias("n"))
+
+    def pieces(count, n):
+        return F.ceil(F.greatest(count / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+
+    sizes = sizes.select("group", F.col("main.root").alias("main"), pieces(F.col("main.count"), F.col("main.n")).alias("inner"),
+                         pieces(F.col("count") - F.col("main.count"), F.col("n") - F.col("main.n")).alias("outer"))
+    placed = own.join(sizes, "group").withColumn("side", F.col("root") == F.col("main"))
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("class", F.lit(5)), F.when(F.col("side"), F.col("inner")).otherwise(F.col("outer"))))
+    shingles = texts.join(own.select("class"), "class", "left_semi").mapInArrow(_sets, "class bigint, shingles binary")
+    parts = cut(placed.join(shingles, "class").groupBy("group", "side", "piece").agg(F.collect_list(F.struct("class", "root", "shingles")).alias("members")))
+    blocks = parts.select("group", "side", "piece")
+    pairs = blocks.where("not side").select("group", F.col("piece").alias("p")).join(blocks, "group").where("side or p <= piece")
     one = parts.where("not side").select("group", F.col("piece").alias("p"), F.col("members").alias("left"))
-    two = parts.select("group", F.col("side").alias("main"), F.col("piece").alias("q"), F.col("members").alias("right"))
-    return cut(one.join(two, "group").where("main or p <= q").select("left", "right").mapInArrow(_blocks, "u bigint, v bigint"))
+    two = parts.withColumnRenamed("members", "right")
+    return cut(pairs.join(one, ["group", "p"]).join(two, ["group", "side", "piece"]).select("left", "right").mapInArrow(_blocks, "u bigint, v bigint"))
 
 
 def _ends(members: DataFrame, end: str, extreme) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from exprspark.llm import decontam, licenses, neardup
@@ -102,3 +103,38 @@ def test_german_items_with_other_numbers_are_leaks(spark):
     item = "Der Bauer kauft 12 Kisten mit je 30 Eiern und verliert davon 4 Stunden lang 7 Eier auf dem Weg zum Markt."
     copy = item.replace("12", "15").replace("30", "24").replace("4 ", "6 ").replace("7 ", "9 ")
     assert leaked(spark, [copy, copy.lower(), prose("x", 40)], item) >= {0}
+
+
+def test_texts_with_one_long_passage_in_common_are_not_paired_one_by_one(spark, monkeypatch):
+    """160 texts at similarity about 0.6 and three at 0.75 or more to one of them: what is compared pair by pair stays few."""
+    rng = random.Random(11)
+    shared = [f"s{k}" for k in range(60)]
+    own = [[f"o{i}x{k}" for k in range(17)] for i in range(160)]
+    texts = [(i, " ".join(shared + words)) for i, words in enumerate(own)]
+    texts += [(1000 + i, " ".join(shared + own[i][:-1] + [f"z{rng.random()}"])) for i in range(3)]
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    seen, links = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, rows: seen.append(pairs.count()) or links(pairs, rows))
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i) for i in range(160)} | {(1000 + i, i) for i in range(3)}
+    assert sum(seen) < 20 * len(texts)
+
+
+def test_products_of_blocks_count_what_sets_share(monkeypatch):
+    monkeypatch.setattr(neardup, "VALUES", 7)
+    rng = np.random.default_rng(2)
+    one, two = ([np.unique(rng.integers(0, 90, rng.integers(1, 60))).astype(np.uint64) for _ in range(k)] for k in (9, 14))
+    got = neardup.intersections(one, two)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    linked = got > 25
+    i, j = neardup.spanning(linked)
+    assert linked[i, j].all() and len(i) < 9 + 14
+
+    def roots(pairs):
+        at = list(range(23))
+        for _ in range(23):
+            for a, b in pairs:
+                at[a] = at[9 + b] = min(at[a], at[9 + b])
+        return at
+
+    assert roots(zip(i, j)) == roots(zip(*np.nonzero(linked)))
