@@ -44,3 +44,34 @@ def test_set_filter_does_not_change_ranks(cells, members):
     """Ranks use every feature: adding one that no set holds moves them."""
     extra = cells.unionByName(cells.where("feature_id = 'gene_1'").withColumn("feature_id", F.lit("gene_9")).withColumn("value", F.lit(0.5)))
     assert scores(score.score_rank(extra, members)) != pytest.approx([0.75, 0.5, 0.5])
+
+
+def test_kernel_shares_equal_the_double_sum_without_its_work(monkeypatch):
+    """Same shares as the mean over all pairs, from a number of normal tails that does not grow with the values."""
+    import numpy as np
+
+    from exprspark.functions.tails import normal_cdf
+
+    asked = []
+    monkeypatch.setattr(score, "normal_cdf", lambda x: asked.append(np.size(x)) or normal_cdf(x))
+    r = np.random.default_rng(1)
+    for values in (r.normal(size=600), np.r_[r.normal(size=300), 1e4, -300.0], np.round(r.gamma(0.3, size=400), 1), np.zeros(5), np.array([1.0, 2.0])):
+        h = max(values.std(ddof=1) / 4, 1e-12)
+        want = [normal_cdf((x - values) / h).mean() for x in values]
+        assert np.abs(score.kernel_shares(values, h) - want).max() < 1e-13
+    asked.clear()
+    score.kernel_shares(r.normal(size=20_000), 0.25)
+    assert sum(asked) < 100
+
+
+def test_gaussian_places_count_absent_cells_as_zeros(spark, cells):
+    import numpy as np
+
+    from exprspark.functions.tails import normal_cdf
+
+    got = {(x["feature_id"], x["sample_id"]): x["density"] for x in score.feature_cdf(cells).collect()}
+    for gene, row in MATRIX.items():
+        row = np.array(row, dtype=float)
+        h = max(row.std(ddof=1) / 4, 1e-12)
+        for i, value in enumerate(row):
+            assert got[gene, f"sample_{i + 1}"] == pytest.approx(normal_cdf((value - row) / h).mean(), abs=1e-13)
