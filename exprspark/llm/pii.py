@@ -3,10 +3,11 @@
 Generators propose overlapping candidate spans with high recall. Boosted trees score each one by its
 format and its context; the scores are calibrated on candidates left out of the fit, and a candidate
 beyond the base rules is redacted where its calibrated probability reaches its kind's threshold, the lowest
-with precision `PRECISION` on those left out. The trees learn from a bounded sample of documents: personal data
-that the base rules find, and forms beyond them written into the texts of the sample (addresses spoken out,
+with precision `PRECISION` on those left out. The trees learn from every document: personal data
+that the base rules find, and forms beyond them written into passages of the texts (addresses spoken out,
 numbers without plus sign, shorter cards), against plain numbers, dates and versions. The checks of the
-base rules are no features, so the trees cannot repeat them.
+base rules are no features, so the trees cannot repeat them. Candidates are binned and counted once; each level of a
+tree then sums gradients per node, feature and bin over the counts, task by task, and only those sums reach the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exprspark.functions.ordering import running
 from exprspark.llm import common
+from exprspark.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose candidates are used for training (expected number), and candidates used at most.
-SAMPLE, CANDIDATES = 8_000, 20_000
 ROUNDS, DEPTH, RATE, BINS, RIDGE = 40, 3, 0.2, 24, 1.0
+QUANTILES = [k / BINS for k in range(1, BINS)]
+#: Trees after which the margins of the counted candidates are written anew.
+KEPT = 10
 PRECISION = 0.98
 CONTEXT = 24
 
@@ -144,64 +148,83 @@ class Model:
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)], axis=1)
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        bins, total = self.binned(x), np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (bins[rows, feature[node]] > cut[node])
-            total += leaf[node - (2**DEPTH - 1)]
+    def leaves(self, bins: np.ndarray, r: int, depth: int = DEPTH) -> np.ndarray:
+        """Node of each row among those of tree r at a depth."""
+        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        for _ in range(depth):
+            node = 2 * node + 1 + (bins[rows, self.feature[r][node]] > self.cut[r][node])
+        return node - (2**depth - 1)
+
+    def raised(self, bins: np.ndarray, rounds: range, margin: np.ndarray | float) -> np.ndarray:
+        """The margin after further trees."""
+        total = np.full(len(bins), 0.0) + margin
+        for r in rounds:
+            total += self.leaf[r][self.leaves(bins, r)]
         return total
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.raised(self.binned(x), range(len(self.leaf)), self.base)
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -35, 35)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Second-order boosting of depth-3 trees for the logistic loss on binned features."""
-    edges = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
-    share = (y.sum() + 1) / (len(y) + 2)
+def untrained(edges: list[np.ndarray], positive: float, count: float) -> Model:
+    share = (positive + 1) / (count + 2)
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
-    model = Model(edges, np.zeros((ROUNDS, inner), np.int64), np.full((ROUNDS, inner), BINS + 1), np.zeros((ROUNDS, leaves)), float(np.log(share / (1 - share))))
-    bins, margin = model.binned(x), np.full(len(y), model.base)
+    return Model(edges, np.zeros((ROUNDS, inner), np.int64), np.full((ROUNDS, inner), BINS + 1), np.zeros((ROUNDS, leaves)), float(np.log(share / (1 - share))))
+
+
+def histograms(model: Model, r: int, level: int, bins: np.ndarray, y: np.ndarray, n: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Gradients and second derivatives of rows counted n times, summed by node of tree r's level, feature and bin."""
+    p = 1 / (1 + np.exp(-margin))
+    at = model.leaves(bins, r, level) * (BINS + 1)
+    size = 2**level * (BINS + 1)
+    return np.stack([[np.bincount(at + column, w, size).reshape(-1, BINS + 1) for column in bins.T] for w in (n * (p - y), n * p * (1 - p))])
+
+
+def boost(model: Model, sums: Callable[[int, int], np.ndarray]) -> Model:
+    """Second-order boosting of depth-3 trees for the logistic loss, from `sums(round, level)` of `histograms`."""
     for r in range(ROUNDS):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
-        node = np.zeros(len(y), np.int64)
         for level in range(DEPTH):
-            first = 2**level - 1
-            at = node - first
-            best = np.full(2**level, 1e-9)
-            for f in range(x.shape[1]):
-                gs, hs = (np.bincount(at * (BINS + 1) + bins[:, f], w, 2**level * (BINS + 1)).reshape(-1, BINS + 1).cumsum(1) for w in (g, h))
+            first, nodes = 2**level - 1, 2**level
+            g, h = sums(r, level)  # features x nodes x bins
+            best = np.full(nodes, 1e-9)
+            for f in range(len(g)):
+                gs, hs = g[f].cumsum(1), h[f].cumsum(1)
                 total_g, total_h = gs[:, -1:], hs[:, -1:]
                 gain = gs**2 / (hs + RIDGE) + (total_g - gs) ** 2 / (total_h - hs + RIDGE) - total_g**2 / (total_h + RIDGE)
                 where = gain[:, :-1].argmax(1)
-                value = gain[np.arange(2**level), where]
+                value = gain[np.arange(nodes), where]
                 for k in np.flatnonzero(value > best):
                     best[k], model.feature[r, first + k], model.cut[r, first + k] = value[k], f, where[k]
-            node = 2 * node + 1 + (bins[np.arange(len(y)), model.feature[r][node]] > model.cut[r][node])
-        at = node - inner
-        model.leaf[r] = -RATE * np.bincount(at, g, leaves) / (np.bincount(at, h, leaves) + RIDGE)
-        margin += model.leaf[r][at]
+        for k in range(nodes):
+            f, left = model.feature[r, first + k], model.cut[r, first + k] + 1
+            for side, part in enumerate((slice(0, left), slice(left, None))):
+                model.leaf[r, 2 * k + side] = -RATE * g[f, k, part].sum() / (h[f, k, part].sum() + RIDGE)
     return model
 
 
+def fit(x: np.ndarray, y: np.ndarray) -> Model:
+    """Boosted trees on arrays that are at hand."""
+    edges = [np.unique(np.quantile(column, QUANTILES)) for column in x.T]
+    model = untrained(edges, y.sum(), len(y))
+    bins, ones = model.binned(x), np.ones(len(y))
+    return boost(model, lambda r, level: histograms(model, r, level, bins, y, ones, model.raised(bins, range(r), model.base)))
+
+
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     """Platt scaling on rows left out of the fit, by Newton steps with smoothed targets."""
-    m, (a, b) = model.margin(x), (1.0, 0.0)
+    m = model.margin(x)
     positive, negative = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    for _ in range(50):
+
+    def sums(a: float, b: float) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -35, 35)))
         w = p * (1 - p) + 1e-6
-        hessian = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(hessian, np.array([((p - t) * m).sum() + 1e-3 * (a - 1), (p - t).sum()]))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    model.slope, model.shift = float(max(a, 0.0)), float(b)
+        return np.array([(w * m * m).sum(), (w * m).sum(), w.sum(), ((p - t) * m).sum(), (p - t).sum()])
+
+    model.slope, model.shift = _newton(sums)
     return model
 
 
@@ -250,7 +273,7 @@ def planted(r: random.Random) -> tuple[str, str, str | None]:
     return r.choice(PLAIN_LEADS), _grouped(r, _number(r, r.randrange(7, 20))), None
 
 
-#: Forms written into each text of the sample.
+#: Forms written into passages of each text.
 PLANTS = 6
 
 
@@ -291,34 +314,118 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["key", "kind", "x", "y", "base"])
 
 
-def thresholds(p: np.ndarray, y: np.ndarray, kind: np.ndarray) -> tuple[float, ...]:
-    """Per kind the lowest probability, at least a half, from which on `PRECISION` of the candidates are personal: midway to the next
-    lower one; 2 where there is none."""
-    out = []
-    for k in range(len(KINDS)):
-        order = np.argsort(-p[kind == k], kind="stable")
-        score, hit = p[kind == k][order], y[kind == k][order]
-        last = np.append(score[1:] != score[:-1], True)[: len(score)]
-        good = np.flatnonzero((np.cumsum(hit) >= PRECISION * np.arange(1, len(hit) + 1)) & (score >= 0.5) & last)
-        below = np.append(score, 0.0)[good[-1] + 1] if len(good) else 0.0
-        out.append(float(max(0.5, (score[good[-1]] + below) / 2)) if len(good) else 2.0)
-    return tuple(out)
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, limit: int = CANDIDATES) -> Model | None:
-    """A calibrated model from the candidates of about `sample` documents chosen by a hash of their text, `limit` of them at
-    most. None where the sample has fewer than 20 candidates of either class: then only the base rules speak."""
-    rows = docs.count()
-    share = min(1.0, sample / max(rows, 1))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(17), F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = chosen.select("text").mapInArrow(_examples, "key bigint, kind int, x array<double>, y int, base boolean").orderBy("key", "x", "y").limit(limit).toPandas()
-    if len(found) == 0 or min(found["y"].sum(), len(found) - found["y"].sum()) < 20:
+def _newton(sums: Callable[[float, float], np.ndarray]) -> tuple[float, float]:
+    """Slope and shift of Platt scaling from `sums(slope, shift)`: second derivatives (aa, ab, bb), then slopes (a, b)."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        aa, ab, bb, ga, gb = sums(a, b)
+        step = np.linalg.solve(np.array([[aa + 1e-3, ab], [ab, bb + 1e-3]]), np.array([ga + 1e-3 * (a - 1), gb]))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(a, 0.0)), float(b)
+
+
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FEATURES).astype(np.int64)
+
+
+def _counted(found: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Candidates counted by their bins, kind, label, origin and side: (bins, kind, y, base, held, n)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+            held = np.asarray(batch.column("key").to_numpy()) % 4 == 0
+            bins = np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in bins], pa.binary()), batch.column("kind"), batch.column("y"), batch.column("base"), pa.array(held)],
+                                             names=["bins", "kind", "y", "base", "held"])
+
+    rows = found.mapInArrow(work, "bins binary, kind int, y int, base boolean, held boolean")
+    return rows.groupBy("bins", "kind", "y", "base", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_margin(rows: DataFrame, model: Model, rounds: range) -> DataFrame:
+    """Counted candidates with the margin after further trees."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin = model.raised(_bins(batch.column("bins")), rounds, batch.column("margin").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margin)], names=batch.schema.names)
+
+    return rows.mapInArrow(work, rows.schema)
+
+
+def _boosted(rows: DataFrame, model: Model) -> Model:
+    """`boost` over counted candidates: one pass a level, whose sums are added up on the driver."""
+    held = {"rows": rows, "from": 0}
+
+    def sums(r: int, level: int) -> np.ndarray:
+        if level == 0 and r > 0 and r % KEPT == 0:
+            held["rows"], held["from"] = cut(_with_margin(held["rows"], model, range(held["from"], r))), r
+        done = range(held["from"], r)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, FEATURES, 2**level, BINS + 1))
+            for batch in batches:
+                bins = _bins(batch.column("bins"))
+                margin = model.raised(bins, done, batch.column("margin").to_numpy())
+                total += histograms(model, r, level, bins, batch.column("y").to_numpy(), batch.column("n").to_numpy(), margin)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        parts = held["rows"].mapInArrow(work, "sums array<double>").collect()  # one row of fixed length a task
+        return np.sum([row[0] for row in parts], axis=0).reshape(2, FEATURES, 2**level, BINS + 1)
+
+    return boost(model, sums)
+
+
+def _chance(slope: float, shift: float):
+    z = F.lit(slope) * F.col("margin") + F.lit(shift)
+    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
+
+
+def _platt(rows: DataFrame) -> tuple[float, float]:
+    """Platt scaling of counted candidates with smoothed targets."""
+    positive, count = rows.agg(F.coalesce(F.sum(F.col("n") * F.col("y")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    target = F.when(F.col("y") > 0, F.lit((positive + 1) / (positive + 2))).otherwise(F.lit(1 / (count - positive + 2)))
+
+    def sums(a: float, b: float) -> np.ndarray:
+        p, m = _chance(a, b), F.col("margin")
+        w, left = F.col("n") * (p * (1 - p) + 1e-6), F.col("n") * (p - target)
+        row = rows.agg(*[F.coalesce(F.sum(e), F.lit(0.0)) for e in (w * m * m, w * m, w, left * m, left)]).first()
+        return np.array(row, dtype=float)
+
+    return _newton(sums)
+
+
+def thresholds(rows: DataFrame) -> tuple[float, ...]:
+    """Per kind the lowest probability p, at least a half, from which on `PRECISION` of the candidates (kind, p, y, n) are personal:
+    midway to the next lower one; 2 where there is none."""
+    scores = cut(rows.groupBy("kind", (-F.col("p")).alias("down")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("hit")))
+    placed = running(scores, ["kind"], ["down"], ["n", "hit"])
+    good = placed.where((F.col("hit_before") + F.col("hit") >= F.lit(PRECISION) * (F.col("n_before") + F.col("n"))) & (F.col("down") <= -0.5))
+    last = good.groupBy("kind").agg(F.max("down").alias("last"))  # one row a kind
+    below = scores.join(F.broadcast(last), "kind").groupBy("kind").agg(F.first("last").alias("last"), F.min(F.when(F.col("down") > F.col("last"), F.col("down"))).alias("next"))
+    found = {r["kind"]: max(0.5, -(r["last"] + (r["next"] or 0.0)) / 2) for r in below.collect()}
+    return tuple(found.get(k, 2.0) for k in range(len(KINDS)))
+
+
+def train(docs: DataFrame) -> Model | None:
+    """A calibrated model from the candidates of every document; those whose hash is divisible by four are left out of the fit. None
+    where there are fewer than 20 candidates of either class: then only the base rules speak."""
+    found = cut(docs.select("text").mapInArrow(_examples, "key bigint, kind int, x array<double>, y int, base boolean"))
+    fitted = found.where(F.pmod("key", F.lit(4)) != 0)
+    count, positive, few = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0)), F.count_if(F.pmod("key", F.lit(4)) != 0)).first()
+    if min(positive, count - positive) < 20 or few == 0:
         return None
-    x, y, kind, base = np.stack(found["x"].to_numpy()), found["y"].to_numpy(float), found["kind"].to_numpy(), found["base"].to_numpy(bool)
-    held = np.arange(len(y)) % 4 == 0
-    model = calibrate(fit(x[~held], y[~held]), x[held], y[held])
-    loose = held & ~base  # base spans stay anyway
-    model.thresholds = thresholds(model.probability(x[loose]), y[loose], kind[loose])
+    # the features are small whole numbers: an exact quantile holds the counts of the distinct ones
+    edges = fitted.agg(*[F.percentile(F.col("x")[f], F.array(*map(F.lit, QUANTILES))).alias(f"_{f}") for f in range(FEATURES)]).first()
+    own, size = fitted.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    model = untrained([np.unique(np.array(e, dtype=float)) for e in edges], own, size)
+    counted = cut(_counted(found, model.edges).withColumn("margin", F.lit(model.base)))
+    model = _boosted(counted.where("not held"), model)
+    scored = cut(_with_margin(counted.where("held"), model, range(ROUNDS)))
+    model.slope, model.shift = _platt(scored)
+    loose = scored.where("not base")  # base spans stay anyway
+    model.thresholds = thresholds(loose.select("kind", _chance(model.slope, model.shift).alias("p"), "y", "n"))
     return model
 
 

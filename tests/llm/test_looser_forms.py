@@ -39,3 +39,25 @@ def test_looser_forms_are_added_and_plain_numbers_are_not(spark):
         assert not base and [s[0] for s in spans] == [kind], (text, spans)
     for text in ("the order 20210304 was sent", "from 2001-2005 in total 1234567 people", "version 1.2.300.4 of page 1234 5678"):
         assert pii.select(text, model) == ([], []), text
+
+
+def test_training_reads_every_document(spark):
+    """Base rate, trees and margins are those of all candidates left in the fit, not of a first part of them."""
+    import hashlib
+
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [f"{prose(r, 6)} +49 30 {r.randrange(10**6, 10**7)} {prose(r, 6)} {r.randrange(10**8)} {prose(r, 4)}" for _ in range(3500)]
+    model = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    rows = []
+    for text in texts:
+        for _, x, y, _ in pii.examples(text):
+            digest = hashlib.blake2b(np.array([*map(float, x), len(text)]).tobytes(), digest_size=8).digest()
+            if int.from_bytes(digest, "little", signed=True) % 4:
+                rows.append((x, y))
+    x, y = np.array([x for x, _ in rows], dtype=float), np.array([y for _, y in rows], dtype=float)
+    assert len(y) > 15_000  # three quarters of 20,000
+    share = (y.sum() + 1) / (len(y) + 2)
+    assert abs(model.base - np.log(share / (1 - share))) < 1e-12
+    assert np.abs(model.margin(x) - pii.fit(x, y).margin(x)).max() < 1e-6
