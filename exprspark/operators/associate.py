@@ -11,6 +11,7 @@ from exprspark.functions.tails import f_upper, t_two_sided
 from exprspark.operators.design import Design, cross_products, encode, matrix_rank
 from exprspark.operators.linear import bh_adjust
 from exprspark.operators.validate import profile_variables
+from exprspark.session import cut
 
 EPS = float(np.finfo(float).eps)
 LARGEST = float(np.finfo(float).max)
@@ -69,7 +70,8 @@ def associate(scores: DataFrame, meta: DataFrame, phenotype: str, covariates: li
 
     out = sums.mapInPandas(solve, "set_id string, test string, effect double, statistic double, p_value double, correlation double")
     out = out.withColumn("effect", F.nullif(F.col("effect"), F.lit(float("nan")))).withColumn("correlation", F.nullif(F.col("correlation"), F.lit(float("nan"))))
-    return bh_adjust(out, "p_value").withColumn("sample_count", F.lit(samples)).withColumn("degrees_of_freedom", F.lit(df))
+    # written once: the adjustment reads it several times and joins on the p-values
+    return bh_adjust(cut(out), "p_value").withColumn("sample_count", F.lit(samples)).withColumn("degrees_of_freedom", F.lit(df))
 
 
 def group_means(scores: DataFrame, meta: DataFrame, phenotype: str) -> DataFrame:

@@ -75,3 +75,22 @@ def test_gaussian_places_count_absent_cells_as_zeros(spark, cells):
         h = max(row.std(ddof=1) / 4, 1e-12)
         for i, value in enumerate(row):
             assert got[gene, f"sample_{i + 1}"] == pytest.approx(normal_cdf((value - row) / h).mean(), abs=1e-13)
+
+
+def test_association_computes_its_scores_once(spark, tmp_path):
+    """The adjusted p-values are joined back on the p-values of one evaluation, not of several."""
+    from exprspark.operators.associate import associate
+
+    log = str(tmp_path / "evaluations")
+
+    def seen(batches):
+        for batch in batches:
+            with open(log, "a") as out:
+                out.write("x\n" * bool(len(batch)))
+            yield batch
+
+    rows = [(s, f"m{i}", float((i * k) % 7)) for k, s in ((3, "a"), (5, "b")) for i in range(12)]
+    scored = spark.createDataFrame(rows, "set_id string, sample_id string, score double").coalesce(1).mapInPandas(seen, "set_id string, sample_id string, score double")
+    meta = spark.createDataFrame([(f"m{i}", float(i * i % 11)) for i in range(12)], "sample_id string, dose double")
+    assert associate(scored, meta, "dose").where("adjusted_p_value is not null").count() == 2
+    assert len(open(log).read().split()) == 1
