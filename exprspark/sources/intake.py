@@ -8,10 +8,38 @@ from pyspark.sql import functions as F
 from exprspark.sources.tables import SourceError
 
 
-def read_quantifications(spark: SparkSession, pattern: str) -> DataFrame:
+def _is_pattern(path: str) -> bool:
+    return any(c in path for c in "*?[{")
+
+
+def _reader(spark: SparkSession, pattern: str, suffix: str):
+    """A folder is listed with all its subfolders by Spark jobs, a pattern one folder after another by the driver."""
+    return spark.read if _is_pattern(pattern) else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+
+
+def _first_file(spark: SparkSession, root: str, suffix: str) -> str | None:
+    """Some file of a folder's tree, by descending into one branch after another until there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
+    while files.hasNext():
+        found = files.next().getPath()
+        if found.getName().endswith(suffix) and not found.getName().startswith(("_", ".")):
+            return found.toString()
+    return None
+
+
+def read_quantifications(spark: SparkSession, pattern: str, suffix: str = ".csv") -> DataFrame:
     """One transcript table per sample folder: (sample_id, transcript_id, length, tpm, counts).
-    The sample is the name of the folder that holds the file."""
-    raw = spark.read.csv(pattern, sep="\t", header=True)
+    The sample is the name of the folder that holds the file. `pattern` names the files, or the folder that holds all samples; its files
+    then end in `suffix` and carry one and the same header line."""
+    reader = _reader(spark, pattern, suffix)
+    if not _is_pattern(pattern):
+        one = _first_file(spark, pattern, suffix)
+        if one is None:
+            raise SourceError(f"No quantification ends in '{suffix}'.")
+        # columns by the header of one file; any other header is an error, not a wrong column
+        reader = reader.schema(spark.read.csv(one, sep="\t", header=True).schema).option("enforceSchema", "false")
+    raw = reader.csv(pattern, sep="\t", header=True)
     sample = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return raw.select(
         F.url_decode(sample).alias("sample_id"),
@@ -22,9 +50,10 @@ def read_quantifications(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def read_mapping_statistics(spark: SparkSession, pattern: str) -> DataFrame:
-    """(sample_id, num_processed, num_mapped) from one JSON document per sample folder."""
-    raw = spark.read.schema("num_processed BIGINT, num_mapped BIGINT").json(pattern, multiLine=True)
+def read_mapping_statistics(spark: SparkSession, pattern: str, suffix: str = ".json") -> DataFrame:
+    """(sample_id, num_processed, num_mapped) from one JSON document per sample folder. `pattern` names the files, or the folder that
+    holds all samples; its files then end in `suffix`."""
+    raw = _reader(spark, pattern, suffix).schema("num_processed BIGINT, num_mapped BIGINT").json(pattern, multiLine=True)
     sample = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
     return raw.select(F.url_decode(sample).alias("sample_id"), "num_processed", "num_mapped")
 

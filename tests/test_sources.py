@@ -102,3 +102,21 @@ def test_no_task_gets_all_rows_in_one_file(spark, tmp_path, monkeypatch, name):
         assert len(got) == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
         assert max(p.read_text().count("<Sample>") for p in files) <= 20
     assert len(files) > 5
+
+
+def test_sample_folders_are_read_from_their_root(spark, tmp_path):
+    """One listing of the whole tree: the same rows as by a pattern, columns by header, a header of its own is an error."""
+    quant, stats = tmp_path / "quant", tmp_path / "stats"
+    for i in range(40):
+        (quant / f"s {i}").mkdir(parents=True)
+        (quant / f"s {i}" / "quant.sf").write_text(f"TPM\tName\tEffectiveLength\tNumReads\n{i}.5\tt{i}\t100\t{i}\n")
+        (stats / f"s {i}" / "aux_info").mkdir(parents=True)
+        (stats / f"s {i}" / "aux_info" / "meta_info.json").write_text(f'{{\n"num_processed": {i + 2},\n"num_mapped": {i}}}\n')
+    rows = sorted(tuple(r) for r in intake.read_quantifications(spark, str(quant), ".sf").collect())
+    assert rows == sorted((f"s {i}", f"t{i}", 100.0, i + 0.5, float(i)) for i in range(40))
+    assert rows == sorted(tuple(r) for r in intake.read_quantifications(spark, f"{quant}/*/quant.sf").collect())
+    counts = sorted(tuple(r) for r in intake.read_mapping_statistics(spark, str(stats)).collect())
+    assert counts == sorted((f"s {i}", i + 2, i) for i in range(40))
+    (quant / "s 7" / "quant.sf").write_text("Name\tTPM\tEffectiveLength\tNumReads\nt7\t7.5\t100\t7\n")
+    with pytest.raises(Exception):
+        intake.read_quantifications(spark, str(quant), ".sf").collect()
