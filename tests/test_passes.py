@@ -91,3 +91,16 @@ def test_lines_of_groups(spark):
     frame = spark.createDataFrame([(j % 2, float(x[j]), int(rng.random() < 1 / (1 + np.exp(-x[j] * (1 + j % 2)))), 1) for j in range(120)], "grp int, x double, pos bigint, n bigint")
     both = M.logistic_lines(frame, "grp")
     assert all(both[g] == pytest.approx(M.logistic_line(frame.where(F.col("grp") == g)), abs=1e-8) for g in (0, 1))
+
+
+def test_moves_that_the_softmax_does_not_see():
+    """Coordinates alone creep along such moves; a step must reach the least penalty at once."""
+    rng = np.random.default_rng(2)
+    b = rng.normal(size=(3, 5))
+    for ratio in (0.0, 0.5, 1.0):
+        def cost(v, ratio=ratio):
+            return (ratio * np.abs(v) + (1 - ratio) / 2 * v * v).sum(0)
+
+        got = N._shifted(b, ratio)
+        assert np.ptp(got - b, axis=0) == pytest.approx(0, abs=1e-12)
+        assert all((cost(got) <= cost(b + t) + 1e-9).all() for t in np.linspace(-3, 3, 601))
