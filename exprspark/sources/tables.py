@@ -130,8 +130,10 @@ def parse_gmt(lines: DataFrame) -> DataFrame:
         .select(
             F.trim(fields[0]).alias("set_id"),
             F.trim(F.get(fields, F.lit(1))).alias("description"),
-            F.explode(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0)))).alias("identifier"),
+            F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))).alias("members"),
         )
+        # a line is split before its members become rows, not once for each of them
+        .select("set_id", "description", F.explode("members").alias("identifier"))
         .select("set_id", "description", F.trim("identifier").alias("identifier"))
         .groupBy("set_id", "description", "identifier")
         .agg(F.count(F.lit(1)).alias("requested"))

@@ -120,3 +120,11 @@ def test_sample_folders_are_read_from_their_root(spark, tmp_path):
     (quant / "s 7" / "quant.sf").write_text("Name\tTPM\tEffectiveLength\tNumReads\nt7\t7.5\t100\t7\n")
     with pytest.raises(Exception):
         intake.read_quantifications(spark, str(quant), ".sf").collect()
+
+
+def test_gmt_lines_are_split_once_not_per_member(spark):
+    lines = spark.createDataFrame([("a\tfirst\tx\ty\tx",), (" ",), ("b\tsecond\t z ",)], "text string")
+    parsed = tables.parse_gmt(lines)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[: plan.index("Generate")]
+    assert {tuple(r) for r in parsed.collect()} == {("a", "first", "x", 2), ("a", "first", "y", 1), ("b", "second", "z", 1)}
