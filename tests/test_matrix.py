@@ -57,6 +57,20 @@ def test_components_match_a_decomposition(spark, sparse, limit, features):
     np.testing.assert_allclose(ratio, (s ** 2 / (s ** 2).sum())[:2], rtol=1e-5)
 
 
+def test_components_of_a_flat_spectrum_take_few_passes(spark, monkeypatch):
+    """Noise, whose largest values lie close together, with copies of samples and a basis that must restart."""
+    x = np.random.default_rng(7).poisson(0.4, (90, 60)).astype(float)
+    x = np.hstack([x, np.zeros((90, 2))]) + np.eye(90, 62)
+    passes, plain = [], matrix._apply_gram
+    monkeypatch.setattr(matrix, "_apply_gram", lambda packed, block: passes.append(block.shape[1]) or plain(packed, block))
+    monkeypatch.setattr(matrix, "BASIS_BYTES", 1)
+    found = matrix.pca(cells_of(spark, x), 3, scale=False, driver_limit=10)
+    assert len(passes) < 25 and sum(passes) > 6 * 8
+    u, s, _ = np.linalg.svd((x - x.mean(1, keepdims=True)).T, full_matrices=False)
+    got = found.coordinates.groupBy("sample_id").agg(F.sum(F.col("value") * F.col("value")).alias("d")).toPandas().sort_values("sample_id")["d"]
+    np.testing.assert_allclose(got, ((u * s)[:, :3] ** 2).sum(1), rtol=1e-6)
+
+
 def one_at_a_time(points, method):
     clusters = {i: [i] for i in range(len(points))}
 
