@@ -16,6 +16,8 @@ from exprspark.operators.grouped import Counts, LogLevels
 from exprspark.session import cut
 
 DENSE_CELLS = 250_000
+#: Most straight pieces of the `voom` trend.
+TREND_BINS = 1000
 
 
 def lm_fit(cells: DataFrame, enc: Encoded, contrast: np.ndarray) -> tuple[DataFrame, int]:
@@ -209,7 +211,7 @@ def _lowess(x: np.ndarray, y: np.ndarray, weights: np.ndarray, span: float = 0.5
     return fit
 
 
-def smooth_trend(points: DataFrame, x: str, y: str, bins: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+def smooth_trend(points: DataFrame, x: str, y: str, bins: int = TREND_BINS) -> tuple[np.ndarray, np.ndarray]:
     """Local trend of y on x through the means of at most `bins` equal-count bins."""
     total = points.count()
     numbered = row_numbers(points.select(F.col(x).alias("x"), F.col(y).alias("y"), "feature_id"), [], ["x", "feature_id"])
@@ -265,12 +267,13 @@ def voom(counts: DataFrame, libraries: DataFrame, enc: Encoded, contrast: np.nda
         return result(names, mean, *levels.weighted(block, fitted, weigh))
 
     levels = LogLevels(x, size)
-    sparse = levels.worthwhile
 
-    def blocks(work, of_counts, schema):
+    def blocks(work, of_counts, schema, sparse):
         return sparse_blocks(counts, samples, len(levels.nodes), of_counts, schema) if sparse else dense_blocks(counts, samples, work, schema)
 
-    plain = cut(blocks(first, first_of_counts, "feature_id string, amean double, sx double, sy double"))
+    plain = cut(blocks(first, first_of_counts, "feature_id string, amean double, sx double, sy double", levels.worthwhile))
     xs, ys = smooth_trend(plain, "sx", "sy")
-    fit = cut(blocks(second, second_of_counts, "feature_id string, mean double, effect double, stdev_unscaled double, sigma2 double"))
+    # the trend of fewer features has sharper corners than the bins follow, and their matrix is small
+    fit = cut(blocks(second, second_of_counts, "feature_id string, mean double, effect double, stdev_unscaled double, sigma2 double",
+                     levels.worthwhile and len(xs) >= TREND_BINS))
     return ebayes(fit, n - p)
